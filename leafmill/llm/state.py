@@ -1,0 +1,18 @@
+"""Cutting lineage: a checkpoint in the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to spark.checkpoint.dir, so that later stages survive lost executors.
+
+    Where a session names no such folder (tests, a laptop), a temporary one is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint(eager=True)

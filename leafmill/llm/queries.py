@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, packing
+from leafmill.llm import boilerplate, bpe, confusables, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,27 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, documents = table(spark, sf_dir, "pages"), table(spark, sf_dir, "parsed_documents")
+    repeated = boilerplate.repeated_lines(pages, documents)
+    in_pages = boilerplate.find_lines(pages, documents, repeated, "row_id")
+    in_sections = boilerplate.find_lines(table(spark, sf_dir, "sections"), documents, repeated, "section_id")
+    return in_pages.select(F.lit("pages").alias("tbl"), "row_id", "line_no").unionAll(
+        in_sections.select(F.lit("sections").alias("tbl"), F.col("section_id").alias("row_id"), "line_no")
+    )
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = (
+        confusables.headings(table(spark, sf_dir, "pages")).select(F.lit("pages").alias("tbl"), "row_id", "text")
+        .unionByName(table(spark, sf_dir, "outline").select(F.lit("outline").alias("tbl"), "row_id", F.col("title").alias("text")))
+        .unionByName(table(spark, sf_dir, "table_cells").select(F.lit("table_cells").alias("tbl"), "row_id", "text"))
+    )
+    return confusables.look_like_labels(texts, table(spark, sf_dir, "ref_titles"))
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))

@@ -120,7 +120,8 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         return group[["key", "copy_no", "piece_no", "container_id", "piece_start", "piece_size"]]
 
     kind = items.schema[key].dataType.simpleString()
-    placed = pieces.groupBy("group").applyInPandas(
+    # partitions by the number of groups, not by their bytes: packing costs time, not memory
+    placed = pieces.repartition(min(groups, 10_000), "group").groupBy("group").applyInPandas(
         place, f"key {kind}, copy_no long, piece_no int, container_id long, piece_start long, piece_size long"
     )
     return placed.withColumnRenamed("key", key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import boilerplate, bpe, confusables, packing
+from leafmill.llm import boilerplate, bpe, confusables, packing, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,26 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.look_like_labels(texts, table(spark, sf_dir, "ref_titles"))
 
 
+_P4 = """
+select 'sections' as tbl, section_id::varchar as item_key from sections where length(html) > 8000
+union
+select 'entries', p.page_id from (select unnest(pages) as p from entries) where length(p.content) > 8000
+"""
+
+
+def oversized_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every item above 8,000 characters, once per item and text."""
+    sections = table(spark, sf_dir, "sections").select(F.lit("sections").alias("tbl"), F.col("section_id").cast("string").alias("item_key"), F.col("html").alias("content"))
+    exported = table(spark, sf_dir, "entries").select(F.explode("pages").alias("p")).select(F.lit("entries").alias("tbl"), F.col("p.page_id").alias("item_key"), "p.content")
+    return splitting.split_items(sections.unionAll(exported), ("tbl", "item_key"), "content")
+
+
+@query("p4_found", _P4)
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # an item above the limit is one that has a second piece
+    return oversized_pieces(spark, sf_dir).where("piece_no = 2").select("tbl", "item_key").distinct()
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))

@@ -123,7 +123,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     for a, b in pack(0, len(text), 0):
         start = a
         if a and overlap:
-            start = next((m.end() for m in _WORD.finditer(text, max(0, a - overlap), a) if m.end() < a and free(m.end())), a - overlap)
+            start = next((m.end() for m in _WORD.finditer(text, max(0, a - overlap), a) if m.end() < a and free(m.end())), max(0, a - overlap))
             if not free(start):  # inside a tag: from behind it
                 start = min(a, whole[bisect_right(begins, start) - 1][1])
         pieces.append((start, a, b))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import boilerplate, bpe, confusables, packing, splitting
+from leafmill.llm import boilerplate, bpe, confusables, mojibake, packing, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = bpe.count_tokens(table(spark, sf_dir, "documents"))
     return packing.pack(sizes, CONTAINER)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair_texts(table(spark, sf_dir, "documents"), suspects=True).where("garbled").select("doc_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import boilerplate, bpe, confusables, mojibake, packing, splitting
+from leafmill.llm import boilerplate, bpe, confusables, mojibake, packing, scanfix, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized_pieces(spark, sf_dir).where("piece_no = 2").select("tbl", "item_key").distinct()
 
 
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, cells, titles, words = (table(spark, sf_dir, n) for n in ("pages", "table_cells", "parsed_documents", "lexicon"))
+    return scanfix.find_noise(pages, cells, titles, words)
+
+
+@query("p5_paragraphs")
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, titles, words = (table(spark, sf_dir, n) for n in ("pages", "parsed_documents", "lexicon"))
+    return scanfix.paragraphs(scanfix.page_lines(pages), titles, words)
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))

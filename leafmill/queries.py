@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafmill.functions import html as html_
+from leafmill.functions import text
+from leafmill.operators import engines, entries, extract, layout, manifest, outline, pages, sections, tables, toc
 from leafmill.operators.nested import flatten_tables
+from leafmill.plans import convert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +63,468 @@ select raw_id, parent_table_id, table_id, 'note', pos1::int, 0 from m
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = flatten_tables(table(spark, sf_dir, "structured_tables"), "items")
     return items.select("raw_id", "parent_table_id", "table_id", "item", "pos1", "pos2")
+
+
+# Functions on characters and words
+
+_SP = "chr(160)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8239)||chr(8287)"
+_WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def normal_sql(x: str) -> str:
+    out = f"translate({x}, {_SP}||chr(9), repeat(' ', 13))"
+    for pattern, by in ((" {2,}", "' '"), ("\\n{3,}", "chr(10)||chr(10)"), (" +\\n", "chr(10)"), (f"^{_WHITE}+|{_WHITE}+$", "''")):
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    return out
+
+
+@query("plain_characters", "select doc_id, md5(translate(text, chr(8260)||chr(8209)||chr(8722)||chr(173)||chr(65533)||chr(8203)||chr(8204)||chr(8205)||chr(65279), '/--')) as h from documents")
+def plain_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.plain_characters(F.col("text"))).alias("h"))
+
+
+@query("normalize_whitespace", f"select doc_id, md5({normal_sql('text')}) as h from documents")
+def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_whitespace(F.col("text"))).alias("h"))
+
+
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+@query("join_apostrophes", f"select doc_id, md5(regexp_replace(regexp_replace(text, '([''’]){_WHITE}+([{_L}])', '\\1\\2', 'g'), '([{_L}]){_WHITE}+([''’])', '\\1\\2', 'g')) as h from documents")
+def join_apostrophes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.join_apostrophes(F.col("text"))).alias("h"))
+
+
+def _slug_sql(x: str) -> str:
+    return f"coalesce(nullif(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled')"
+
+
+@query("slugs", f"select row_id, {_slug_sql('title')} as slug, replace(lower(title), ' ', '-') as dashed from outline")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "outline").select("row_id", text.slug(F.col("title")).alias("slug"), text.dashed(F.col("title")).alias("dashed"))
+
+
+_COVER = f"length(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9.,;:!?\\-{_WHITE[1:]}', '', 'g'))"
+
+
+@query("text_coverage", f"select row_id, coalesce({_COVER}, 0)::int as chars, coalesce(least({_COVER} / 3000.0, 1.0), 0.0)::double as coverage, coalesce(least({_COVER} / 3000.0, 1.0), 0.0) < 0.05 as wanted from pages")
+def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("row_id", F.coalesce(text.coverage_characters(html), F.lit(0)).alias("chars"), text.text_coverage(html).alias("coverage"), text.needs_ocr(html, "auto").alias("wanted"))
+
+
+@query("escape_html", "select row_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as escaped from table_cells")
+def escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "table_cells").select("row_id", html_.escape(F.col("text")).alias("escaped"))
+
+
+# Functions on fragments
+
+_BODY = r"case when regexp_matches(html, '(?is)<body[^>]*>(.*?)</body>') then regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) else html end"
+
+
+@query("body_inner", f"select row_id, md5({_BODY}) as h from pages")
+def body_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("row_id", F.md5(html_.body_inner(F.col("html"))).alias("h"))
+
+
+def _scaffold_sql(x: str) -> str:
+    for pattern in ("<!DOCTYPE[^>]*>", "<head[^>]*>.*?</head>", "</?html[^>]*>", "<style[^>]*>.*?</style>"):
+        x = f"regexp_replace({x}, '(?is){pattern}{_WHITE}*', '', 'g')"
+    return x
+
+
+@query("without_scaffold", f"select row_id, md5({_scaffold_sql('html')}) as h from pages")
+def without_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("row_id", F.md5(html_.without_scaffold(F.col("html"))).alias("h"))
+
+
+@query(
+    "scoped_pages",
+    "select row_id, md5('<div class=''leafmill''>' || regexp_replace(coalesce(html, ''), '(?i)(<img\\b[^>]*?\\bsrc\\s*=\\s*[''\"])(assets/)', '\\1modules/' || mod_id || '/\\2', 'g') || '</div>') as h from pages join parsed_documents using (doc_id)",
+)
+def scoped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "pages").join(table(spark, sf_dir, "parsed_documents").select("doc_id", "mod_id"), "doc_id")
+    return both.select("row_id", F.md5(html_.module_image_sources(html_.wrap_scope(F.col("html")), F.col("mod_id"))).alias("h"))
+
+
+@query("clean_pages")
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("row_id", html_.clean_fragment(F.col("html")).alias("html"))
+
+
+# What pages hold
+
+_LINKS = """
+select row_id, generate_subscripts(m, 1)::int as link_ord, unnest(m) as target from
+(select row_id, regexp_extract_all(html, '(?i)<a\\s+[^>]*href="([^"]+)"', 1) as m from pages)
+"""
+_KIND = "case when starts_with(target, 'http://') or starts_with(target, 'https://') or starts_with(target, 'mailto:') then 'external' else 'internal' end"
+
+
+@query("links", f"select row_id, link_ord, {_KIND} as kind, target from ({_LINKS})")
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.links(table(spark, sf_dir, "pages"), ["row_id"])
+
+
+@query("link_counts", f"select doc_id, {_KIND} as kind, count(*) as n from ({_LINKS}) join pages using (row_id) group by 1, 2")
+def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.links(table(spark, sf_dir, "pages"), ["doc_id"]).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+_EMBEDDED = """
+select row_id, page_no, generate_subscripts(m, 1)::int as img_ord, lower(trim(unnest(m))) as ext from
+(select row_id, page_no, regexp_extract_all(html, 'src="data:image/([^;"]+);base64,([^"]+)"', 1) as m from pages)
+"""
+_NAME = "'page-' || lpad(page_no::varchar, 4, '0') || '_img_' || lpad(img_ord::varchar, 4, '0') || '.' || case when ext = 'jpeg' then 'jpg' when contains(ext, 'svg') then 'svg' else ext end"
+
+
+@query("embedded_images", f"select row_id, img_ord, {_NAME} as name, 'assets/' || {_NAME} as src from ({_EMBEDDED})")
+def embedded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.embedded_images(table(spark, sf_dir, "pages"), ["row_id"]).drop("content")
+
+
+@query("assets_rewritten")
+def assets_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("row_id", F.md5(extract.embedded_images_to_assets(F.col("html"), F.col("page_no"))).alias("h"))
+
+
+_HTML_TABLES = """
+select row_id, doc_id, page_no, generate_subscripts(m, 1)::int as table_ord, unnest(m) as t from
+(select *, regexp_extract_all(html, '(?is)<table.*?</table>') as m from pages)
+"""
+
+
+@query("html_tables", f"select row_id, table_ord, md5(t) as h from ({_HTML_TABLES})")
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.html_tables(table(spark, sf_dir, "pages"), ["row_id"]).select("row_id", "table_ord", F.md5("html").alias("h"))
+
+
+_FIRST = "select * from pages qualify row_number() over (partition by doc_id, page_no order by loaded_at, row_id) = 1"
+_STRUCTURED = "select doc_id, page_no, table_ord, max(confidence) as confidence from table_cells group by all"
+
+
+def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "table_cells").groupBy("doc_id", "page_no", "table_ord").agg(F.max("confidence").alias("confidence"))
+
+
+@query(
+    "table_decisions",
+    f"""select h.doc_id, h.page_no, h.table_ord, case when s.doc_id is not null and coalesce(s.confidence, 0.5) >= 0.6 then 'structured' else 'html' end as kind
+    from ({_HTML_TABLES.replace("from pages", f"from ({_FIRST})")}) h left join ({_STRUCTURED}) s on (h.doc_id, h.page_no, h.table_ord) = (s.doc_id, s.page_no, s.table_ord)""",
+)
+def table_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = pages.first_deliveries(table(spark, sf_dir, "pages"))
+    found = extract.html_tables(once, ["doc_id", "page_no"])
+    return extract.decide_tables(found, _structured(spark, sf_dir), ["doc_id", "page_no"], "auto").drop("name")
+
+
+@query("content_hashes", "select substring(sha256(text), 1, 16) as hash, count(*) as n from documents where text is not null group by 1")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").where("text is not null")
+    return texts.groupBy(engines.content_hash(F.col("text").cast("binary")).alias("hash")).agg(F.count("*").alias("n"))
+
+
+# Which pages
+
+@query("first_deliveries", f"select row_id, doc_id, page_no, md5(html) as h from ({_FIRST})")
+def first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.first_deliveries(table(spark, sf_dir, "pages")).select("row_id", "doc_id", "page_no", F.md5("html").alias("h"))
+
+
+@query(
+    "page_specs",
+    """select doc_id, string_agg(case when a = b then a::varchar else a || '-' || b end, ',' order by a) as spec from (
+    select doc_id, min(page_no) as a, max(page_no) as b from (select doc_id, page_no, page_no - row_number() over (partition by doc_id order by page_no) as run
+    from (select distinct doc_id, page_no from pages where page_no is not null)) group by doc_id, run) group by doc_id""",
+)
+def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_specs(table(spark, sf_dir, "pages"), ["doc_id"])
+
+
+@query("page_selection", "select row_id, doc_id, page_no from pages where page_no in (1, 3, 4, 5)")
+def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.select_pages(table(spark, sf_dir, "pages"), pages.parse_page_spec("1,3-5")).select("row_id", "doc_id", "page_no")
+
+
+@query("missing_pages", "select doc_id, p as page_no from parsed_documents, (select unnest([3, 4, 5])::int as p) where p > page_count")
+def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.missing_pages(table(spark, sf_dir, "parsed_documents"), pages.parse_page_spec("3-5"))
+
+
+# Outlines and sections
+
+_TREE = """
+with recursive once as (select doc_id, node_id, parent_id, sibling_ord, title, page from outline
+    qualify row_number() over (partition by doc_id, node_id order by sibling_ord nulls first, title nulls first, page nulls first) = 1),
+n as (select *, greatest(1, coalesce(page, 1)) as page_start, SLUG as slug,
+    lpad((row_number() over (partition by doc_id, parent_id order by sibling_ord, node_id))::varchar, 8, '0') as place from once),
+t as (select doc_id, node_id, node_id as root_id, 1 as level, title, page_start, place as key, [slug] as path from n where parent_id is null
+    union all
+    select n.doc_id, n.node_id, t.root_id, t.level + 1, n.title, n.page_start, t.key || n.place, list_append(t.path, n.slug)
+    from t join n on n.doc_id = t.doc_id and n.parent_id = t.node_id),
+o as (select t.*, row_number() over (partition by doc_id order by key) as dfs_ord from t),
+c as (select doc_id, max(coalesce(page_count, 0)) as pages from parsed_documents group by 1),
+nxt as (select a.doc_id, a.dfs_ord, min(b.dfs_ord) as nx from o a join o b on a.doc_id = b.doc_id and b.dfs_ord > a.dfs_ord and b.level <= a.level group by all),
+tree as (select o.doc_id, o.node_id, o.root_id, o.level, o.dfs_ord::int as dfs_ord, o.title, o.page_start, o.path,
+    least(case when nxt.nx is null then greatest(coalesce(c.pages, 0), 1) else greatest(1, b.page_start - 1) end, greatest(coalesce(c.pages, 0), 1)) as page_end
+    from o left join nxt using (doc_id, dfs_ord) left join o b on b.doc_id = o.doc_id and b.dfs_ord = nxt.nx left join c on c.doc_id = o.doc_id),
+named as (select *, case when r = 1 then path[-1] else path[-1] || '-' || r end as uniq from
+    (select *, row_number() over (partition by doc_id, level, path[-1] order by dfs_ord) as r from tree)),
+roots as (select doc_id, root_id, (row_number() over (partition by doc_id order by dfs_ord))::int as chapter_ord, title as chapter_title, uniq as chapter_slug, page_start as f, page_end as e from named where level = 1),
+below as (select doc_id, root_id, dfs_ord, level, title, page_start, page_end, uniq from named where level >= 2),
+synth as (select doc_id, root_id, p::int as dfs_ord, 2 as level, 'Page ' || p as title, p::int as page_start, p::int as page_end, 'page-' || lpad(p::varchar, 3, '0') as uniq from
+    (select doc_id, root_id, unnest(generate_series(f, e)) as p from roots where e >= f and not exists (select 1 from below b where b.doc_id = roots.doc_id and b.root_id = roots.root_id))),
+spans as (select s.doc_id, r.chapter_ord, (row_number() over (partition by s.doc_id, s.root_id order by s.dfs_ord))::int as section_ord, s.level, s.title, s.page_start, s.page_end, r.chapter_slug, s.uniq, r.chapter_title
+    from (select * from below union all select * from synth) s join roots r using (doc_id, root_id))
+""".replace("SLUG", _slug_sql("title"))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.outline_tree(table(spark, sf_dir, "outline"), table(spark, sf_dir, "parsed_documents"))
+
+
+@query("outline_tree", _TREE + "select doc_id, node_id, root_id, level, dfs_ord, title, page_start, page_end, array_to_string(path, '/') as path from tree")
+def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).withColumn("path", F.array_join("path", "/"))
+
+
+@query("unique_paths", _TREE + 'select doc_id, node_id, uniq as "unique" from named')
+def unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.unique_slugs(_tree(spark, sf_dir)).select("doc_id", "node_id", "unique")
+
+
+@query("outline_counts", _TREE + "select doc_id, count(*) filter (level = 1) as chapters, count(*) filter (level >= 2) as sections from tree group by 1")
+def outline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.outline_counts(_tree(spark, sf_dir))
+
+
+@query("outline_fallback", "select distinct doc_id, 1 as node_id, 'Document' as title, 1 as page from parsed_documents where doc_id not in (select doc_id from outline where doc_id is not null)")
+def outline_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.fallback_outline(table(spark, sf_dir, "parsed_documents"), table(spark, sf_dir, "outline")).select("doc_id", "node_id", "title", "page")
+
+
+@query("section_spans", _TREE + "select doc_id, chapter_ord, section_ord, level, title, page_start, page_end, chapter_slug || '/' || uniq as id_path from spans")
+def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.spans(_tree(spark, sf_dir)).select("doc_id", "chapter_ord", "section_ord", "level", "title", "page_start", "page_end", F.array_join("id_path", "/").alias("id_path"))
+
+
+_MERGED = f"""
+, first as ({_FIRST}), lastp as (select doc_id, max(page_no) as last from first group by 1),
+merged as (select s.doc_id, s.chapter_ord, s.section_ord, string_agg(coalesce(p.html, ''), chr(10) || chr(10) order by p.page_no) as html
+    from spans s join first p on p.doc_id = s.doc_id and p.page_no between s.page_start and s.page_end group by all)
+"""
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.merge_pages(sections.spans(_tree(spark, sf_dir)), pages.first_deliveries(table(spark, sf_dir, "pages")))
+
+
+@query("section_html", _TREE + _MERGED + "select s.doc_id, s.chapter_ord, s.section_ord, md5(coalesce(m.html, '')) as h from spans s left join merged m using (doc_id, chapter_ord, section_ord)")
+def section_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("doc_id", "chapter_ord", "section_ord", F.md5("html").alias("h"))
+
+
+# Entries and tables of contents
+
+_STRIP = f"nullif(regexp_replace(T, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '')"
+_PAGES = f"""
+, raws as (select s.*, d.mod_id, coalesce({_STRIP.replace("T", "s.title")}, 'Untitled Section ' || section_ord) as raw,
+    coalesce({_STRIP.replace("T", "s.chapter_title")}, 'Untitled Chapter ' || chapter_ord) as entry_name
+    from spans s join (select doc_id, min(mod_id) as mod_id from parsed_documents group by 1) d using (doc_id)),
+nm as (select *, case when k = 1 then raw else raw || ' (' || k || ')' end as name from
+    (select *, row_number() over (partition by doc_id, chapter_ord, raw order by section_ord) as k from raws)),
+pg as (select doc_id, chapter_ord, section_ord, substring(sha1(mod_id || '|' || chapter_slug || '|entry'), 1, 16) as entry_id, entry_name,
+    substring(sha1(mod_id || '|' || chapter_slug || '|page|' || name), 1, 16) as page_id, name, greatest(1, least(3, level - 1)) as level, section_ord * 1000 as sort from nm)
+"""
+
+
+def _page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.name_pages(sections.spans(_tree(spark, sf_dir)), table(spark, sf_dir, "parsed_documents"))
+
+
+@query("page_names", _TREE + _PAGES + "select * from pg")
+def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_names(spark, sf_dir).select("doc_id", "chapter_ord", "section_ord", "entry_id", "entry_name", "page_id", "name", "level", "sort")
+
+
+_TOC = """
+, ch as (select doc_id, chapter_ord, '<section class="toc-chapter"><h2>' || entry_name || '</h2><ul>' ||
+    string_agg('<li>@UUID[JournalEntry.' || entry_id || '.JournalEntryPage.' || page_id || ']{' || name || '}</li>', '' order by sort, section_ord) || '</ul></section>' as part from pg group by doc_id, chapter_ord, entry_name),
+toc as (select doc_id, '<div class="leafmill toc"><h1>Table of Contents</h1>' || string_agg(part, '' order by chapter_ord) || '</div>' as html from ch group by 1)
+"""
+
+
+@query("toc_html", _TREE + _PAGES + _TOC + "select doc_id, md5(html) as h from toc")
+def toc_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toc.render_toc(_page_names(spark, sf_dir)).select("doc_id", F.md5("html").alias("h"))
+
+
+@query(
+    "toc_broken",
+    _TREE + _PAGES + """, ex as (select distinct doc_id, entry_id, p.page_id from (select doc_id, entry_id, unnest(pages) as p from entries))
+    select doc_id, '''' || name || ''' targets missing ' || case when exists (select 1 from ex d where d.doc_id = p.doc_id and d.entry_id = p.entry_id) then 'page ' || page_id || ' in entry ' || entry_id else 'entry ' || entry_id end as issue
+    from pg p where not exists (select 1 from ex d where d.doc_id = p.doc_id and d.entry_id = p.entry_id and d.page_id = p.page_id)""",
+)
+def toc_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the tables of contents checked against the exported entries."""
+    exported = table(spark, sf_dir, "entries").select("doc_id", "entry_id", F.explode("pages.page_id").alias("page_id"))
+    return toc.broken_links(toc.render_toc(_page_names(spark, sf_dir)), exported).select("doc_id", "issue")
+
+
+@query("entry_pages")
+def entry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.entry_pages(_merged(spark, sf_dir), table(spark, sf_dir, "parsed_documents")).select("doc_id", "entry_id", "page_id", "name", "level", "sort", "content")
+
+
+@query("entries_nested")
+def entries_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.convert_tables(spark, sf_dir).entries
+
+
+@query("invalid_pages", "select null::varchar as doc_id, null::varchar as page_id, null::varchar as issue where false")
+def invalid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.invalid_pages(_page_names(spark, sf_dir).withColumn("content", F.lit("")))
+
+
+@query("anchor_tokens", f"""
+with p as (select e.entry_id, x.page_id, x.name, x.sort_ord from (select distinct on (entry_id) entry_id, pages from entries order by entry_id, exported_at desc) e, unnest(e.pages) as u(x)),
+t as (select entry_id, page_id, sort_ord, {_slug_sql('name')} as token from p union all select entry_id, page_id, sort_ord, replace(lower(name), ' ', '-') from p)
+select entry_id, token, arg_min(page_id, sort_ord) as page_id from t where token is not null group by 1, 2
+""")
+def anchor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = table(spark, sf_dir, "entries").groupBy("entry_id").agg(F.max_by("pages", "exported_at").alias("pages"))
+    listed = latest.select("entry_id", F.inline("pages"))
+    tokens = extract.anchor_tokens(listed, ["entry_id"], "name", "page_id", "sort_ord")
+    return tokens.select("entry_id", F.explode("anchors").alias("token", "page_id"))
+
+
+# Tables and layout
+
+_OWN = """
+with own as (select doc_id, page_no, table_id, row_idx, col_idx, coalesce(text, '') as text, greatest(1, coalesce(rowspan, 1)) as rowspan, greatest(1, coalesce(colspan, 1)) as colspan, coalesce(is_header, false) as is_header
+    from table_cells where tbl_x0 is not null and tbl_y0 is not null and tbl_x1 is not null and tbl_y1 is not null and row_idx is not null and col_idx is not null
+    qualify row_number() over (partition by doc_id, page_no, table_id, row_idx, col_idx order by loaded_at desc, row_id desc) = 1),
+cov as (select doc_id, page_no, table_id, r, unnest(generate_series(col_idx, col_idx + colspan - 1)) as c from (select *, unnest(generate_series(row_idx, row_idx + rowspan - 1)) as r from own)),
+ext as (select doc_id, page_no, table_id, min(r) as r0, max(r) as r1, min(c) as c0, max(c) as c1 from cov group by all),
+places as (select doc_id, page_no, table_id, r, unnest(generate_series(c0, c1)) as c from (select *, unnest(generate_series(r0, r1)) as r from ext)),
+grid as (select * from own union all select p.doc_id, p.page_no, p.table_id, p.r::int, p.c::int, '', 1, 1, false from places p
+    where not exists (select 1 from cov where (cov.doc_id, cov.page_no, cov.table_id, cov.r, cov.c) = (p.doc_id, p.page_no, p.table_id, p.r, p.c)))
+"""
+
+
+@query("table_grid", _OWN + "select * from grid")
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table_grid(table(spark, sf_dir, "table_cells"))
+
+
+_CELL = "'<' || TAG || case when colspan > 1 then ' colspan=\"' || colspan || '\"' else '' end || case when rowspan > 1 then ' rowspan=\"' || rowspan || '\"' else '' end || '>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</' || TAG || '>'"
+
+
+@query("table_html", _OWN + f""", m as (select *, is_header and row_idx = min(row_idx) over (partition by doc_id, page_no, table_id) as head from grid),
+    rws as (select doc_id, page_no, table_id, row_idx, string_agg(case when not head then {_CELL.replace("TAG", "'td'")} end, '' order by col_idx) as td, string_agg(case when head then {_CELL.replace("TAG", "'th'")} end, '' order by col_idx) as th from m group by all)
+    select doc_id, page_no, table_id, md5('<table>' || case when max(th) is not null then '<thead><tr>' || max(th) || '</tr></thead>' else '' end || '<tbody>' || string_agg('<tr>' || coalesce(td, '') || '</tr>', '' order by row_idx) || '</tbody></table>') as h from rws group by 1, 2, 3""")
+def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.render_tables(tables.table_grid(table(spark, sf_dir, "table_cells"))).select("doc_id", "page_no", "table_id", F.md5("html").alias("h"))
+
+
+@query("table_ids", "select distinct doc_id, page_no, table_id, substring(sha1('table_' || page_no || '_' || table_id), 1, 16) as id from table_cells")
+def table_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table_ids(table(spark, sf_dir, "table_cells"))
+
+
+@query("best_tables", """select doc_id, page_no, table_id, least(1.0, confidence) as confidence from (select doc_id, page_no, table_id, table_ord, max(confidence) as confidence from table_cells group by all)
+    where confidence > 0 qualify row_number() over (partition by doc_id, page_no order by confidence desc, table_ord, table_id desc) = 1""")
+def best_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "table_cells").groupBy("doc_id", "page_no", "table_id", "table_ord").agg(F.max("confidence").alias("confidence"))
+    return tables.best_tables(each)
+
+
+_W, _H = "least(x1, tbl_x1) - greatest(x0, tbl_x0)", "least(y1, tbl_y1) - greatest(y0, tbl_y0)"
+
+
+@query("cell_overlap", f"""select row_id, round(case when {_W} > 0 and {_H} > 0 and (x1 - x0) * (y1 - y0) > 0 then ({_W}) * ({_H}) / ((x1 - x0) * (y1 - y0)) else 0.0 end, 6) as overlap
+    from table_cells where x0 is not null and y0 is not null and x1 is not null and y1 is not null and tbl_x0 is not null and tbl_y0 is not null and tbl_x1 is not null and tbl_y1 is not null""")
+def cell_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    cells = table(spark, sf_dir, "table_cells").where(" and ".join(f"{p}{s} is not null" for p in ("", "tbl_") for s in ("x0", "y0", "x1", "y1")))
+    a, b = ((c(f"{p}x0"), c(f"{p}y0"), c(f"{p}x1") - c(f"{p}x0"), c(f"{p}y1") - c(f"{p}y0")) for p in ("", "tbl_"))
+    return cells.select("row_id", F.round(tables.overlap(a, b), 6).alias("overlap"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table cells as positioned blocks of their pages."""
+    cells = table(spark, sf_dir, "table_cells")
+    return cells.select("doc_id", "page_no", F.col("row_id").alias("block_ord"), F.when(F.col("is_header"), "heading").otherwise("text").alias("type"), "x0", "y0", "x1", "y1", "text")
+
+
+@query("column_counts", """
+with b as (select doc_id, page_no, row_id, (x0 + x1) / 2 as x from table_cells), n as (select doc_id, page_no, count(*) as blocks from b group by all),
+g as (select doc_id, page_no, x, row_number() over w - 1 as i, x - lag(x) over w as gap from b where x is not null window w as (partition by doc_id, page_no order by x, row_id)),
+a as (select doc_id, page_no, count(*) as n, max(x) - min(x) as spread from g group by all),
+m as (select doc_id, page_no, i, gap from g where gap > 0 qualify row_number() over (partition by doc_id, page_no order by gap desc, i) = 1)
+select n.doc_id, n.page_no, case when blocks >= 8 and a.n >= 8 and i < a.n - 1 and gap / greatest(1.0, spread) >= 0.3 and least(i, a.n - i)::double / a.n >= 0.3 then 2 else 1 end as columns
+from n left join a using (doc_id, page_no) left join m using (doc_id, page_no)""")
+def column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.column_counts(_blocks(spark, sf_dir))
+
+
+@query("histogram_split", """
+with p as (select doc_id, page_no, (x0 + x1) / 2 as x from table_cells where x0 is not null and x1 is not null and not coalesce(is_header, false)),
+g as (select doc_id, page_no, min(x) as lo, least(20, count(*) // 2) as bins, (max(x) - min(x)) / least(20, count(*) // 2) as step from p group by all having count(*) >= 8 and max(x) > min(x)),
+b as (select distinct doc_id, page_no, least(floor((x - lo) / step)::int, bins - 1) as bin from p join g using (doc_id, page_no)),
+v as (select doc_id, page_no, min(a.bin) + 1 as bin from b a where exists (select 1 from b c where (c.doc_id, c.page_no, c.bin) = (a.doc_id, a.page_no, a.bin + 2))
+    and not exists (select 1 from b c where (c.doc_id, c.page_no, c.bin) = (a.doc_id, a.page_no, a.bin + 1)) group by all),
+s as (select doc_id, page_no, lo + (bin + 0.5) * step as boundary from v join g using (doc_id, page_no))
+select doc_id, page_no, boundary from p join s using (doc_id, page_no) group by all
+having count(*) filter (x < boundary) >= 3 and count(*) filter (x > boundary) >= 3 and min(x) filter (x > boundary) - max(x) filter (x < boundary) >= 0.08 * 612""")
+def histogram_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.histogram_split(_blocks(spark, sf_dir))
+
+
+@query("reading_order")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.reading_order(_blocks(spark, sf_dir))
+
+
+# Manifests
+
+_AUTHOR = "nullif(trim(coalesce(author, '')), '')"
+
+
+@query("manifests", f"""select doc_id, mod_id as id, title, '13' as minimum, {_AUTHOR} as author, pack_name as pack, title || ' Journals' as label, 'packs/' || pack_name as path, nullif(trim(coalesce(license, '')), '') as license from parsed_documents""")
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("manifest")
+    made = manifest.manifests(table(spark, sf_dir, "parsed_documents"))
+    first = lambda a, f: F.try_element_at(a, F.lit(1))[f]
+    return made.select(
+        "doc_id", m["id"].alias("id"), m["title"].alias("title"), m["compatibility"]["minimum"].alias("minimum"), first(m["authors"], "name").alias("author"),
+        first(m["packs"], "name").alias("pack"), first(m["packs"], "label").alias("label"), first(m["packs"], "path").alias("path"), m["license"].alias("license"),
+    )
+
+
+@query("manifest_issues", "select doc_id, k || ' is missing' as issue from (select doc_id, unnest(['id', 'title']) as k, unnest([mod_id, title]) as v from parsed_documents) where coalesce(v, '') = ''")
+def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_issues(manifest.manifests(table(spark, sf_dir, "parsed_documents")))
+
+
+# Recognised text
+
+@query("ocr_blocks", """select doc_id, md5('<div class="ocr-content" data-source="ocr">' || chr(10) || string_agg('<p data-ocr="true" data-ocr-confidence="0.500">' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' || chr(10), '' order by row_id) || '</div>') as h
+    from outline where regexp_matches(title, '[^\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]') group by 1""")
+def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "outline").select("doc_id", F.col("row_id").alias("ord"), F.col("title").alias("text"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("language"))
+    return engines.ocr_block(results, ["doc_id"]).select("doc_id", F.md5("block").alias("h"))
+
+
+@query("mean_confidence", "select doc_id, coalesce(avg(confidence) filter (confidence > 0) / 100, 0.0) as confidence from table_cells group by 1")
+def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engines.mean_confidence(table(spark, sf_dir, "table_cells"), ["doc_id"])
+
+
+# Whole pipeline
+
+@query("conversion_counts")
+def conversion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.convert_tables(spark, sf_dir).pages.groupBy("doc_id").agg(F.countDistinct("entry_id").alias("entries"), F.count("*").alias("pages"), F.sum(F.length("content")).alias("chars"))

@@ -108,7 +108,7 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COVER = f"length(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^a-zA-Z0-9.,;:!?\\-{_WHITE[1:]}', '', 'g'))"
 
 
-@query("text_coverage", f"select row_id, coalesce({_COVER}, 0)::int as chars, coalesce(least({_COVER} / 3000.0, 1.0), 0.0)::double as coverage, coalesce(least({_COVER} / 3000.0, 1.0), 0.0) < 0.05 as wanted from pages")
+@query("text_coverage", f"select row_id, coalesce({_COVER}, 0)::int as chars, least(coalesce({_COVER}, 0) / 3000.0::double, 1.0::double) as coverage, coalesce({_COVER}, 0) / 3000.0 < 0.05 as wanted from pages")
 def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     return table(spark, sf_dir, "pages").select("row_id", F.coalesce(text.coverage_characters(html), F.lit(0)).alias("chars"), text.text_coverage(html).alias("coverage"), text.needs_ocr(html, "auto").alias("wanted"))

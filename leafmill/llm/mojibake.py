@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 LEGACY = ("western", "cp1250", "cp1251", "cp1253", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_2", "iso8859_7", "cp1254", "cp1257", "mac_latin2")
 _INTENDED = ("western", "cp1251", "cp1253", "cp1250", "iso8859_2", "koi8_r", "cp866", "mac_roman", "cp437")
 _MISTAKEN = ("western", "cp1251", "cp1250", "cp1253", "koi8_r", "cp866", "cp437", "mac_roman")
+_PAIRS = [(a, b) for a in _MISTAKEN for b in _INTENDED if a != b]
+_CYRILLIC = [(a, b) for a, b in _PAIRS if {a, b} <= {"cp1251", "koi8_r", "cp866"}]
 #: A round trip is kept if it leaves at most this share of the cost, and repeated for so many layers.
 KEEP, LAYERS = 0.67, 6
 
@@ -221,17 +223,19 @@ def _legacy_again(text: str) -> str:
         old, n = _line_cost(line)
         if n < 8 or old < 1.4 * n:
             continue
+        script, odd = _cyrillic(line), old >= 1.9 * n
+        if not (script or odd):
+            continue
         best, choice = old, None
-        for mistaken in _MISTAKEN:
-            for intended in _INTENDED:
-                if mistaken == intended:
-                    continue
-                read = line.translate(_pair(mistaken, intended))
-                new, m = _line_cost(read)
-                # within one script the letters alone decide, so more of them are asked for
-                most = 0.78 * old if _cyrillic(line) and _cyrillic(read) else 0.55 * old if old >= 1.9 * n else 0
-                if new < min(best, most) and new <= 1.4 * m:
-                    best, choice = new, read
+        for mistaken, intended in _PAIRS if odd else _CYRILLIC:
+            read = line.translate(_pair(mistaken, intended))
+            new, m = _line_cost(read)
+            # within one script the letters alone decide, so more of them are asked for
+            most = 0.55 * old if odd else 0.0
+            if script and new < 0.78 * old and _cyrillic(read):
+                most = 0.78 * old
+            if new < min(best, most) and new <= 1.4 * m:
+                best, choice = new, read
         if choice is not None:
             lines[i] = choice
     return "\n".join(lines)
@@ -268,7 +272,7 @@ def repair_texts(df: DataFrame, key: str = "doc_id", text: str = "text", suspect
     """(key, text, garbled) of every row; with `suspects` only of rows that could be garbled."""
     source = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text"))
     # one accent between ASCII characters is only garbled if it is a symbol in a word, or a control
-    suspect = F.col("text").rlike("[^\\x00-\\x7f]{2}|[\\x{80}-\\x{9f}\\x{fffd}]|[A-Za-z][^\\x00-\\x7f\\p{L}\\p{M}’‘–·\\x{ad}][A-Za-z]")
+    suspect = (F.octet_length("text") > F.length("text")) & F.col("text").rlike("[^\\x00-\\x7f]{2}|[\\x{80}-\\x{9f}\\x{fffd}]|[A-Za-z][^\\x00-\\x7f\\p{L}\\p{M}’‘–·\\x{ad}][A-Za-z]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

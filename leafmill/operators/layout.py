@@ -1,13 +1,13 @@
 """Page geometry: how many columns a page has, and the reading order of its blocks.
 
 Blocks: (doc_id, page_no, block_ord, type, x0, y0, x1, y1, ...). Column counts by the widest gap and by histogram are
-window and aggregate expressions; the iterative clustering runs per page in pandas, and a page is all that one call sees.
+window and aggregate expressions; the iterative clustering runs per page on Arrow data, and a page is all that one call sees.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,14 +104,12 @@ def silhouette(points: np.ndarray, group: np.ndarray) -> float:
     return float(np.where(most > 0, (b - a) / np.where(most > 0, most, 1), 0.0).mean())
 
 
-def _columns(page: pd.DataFrame, width: float) -> np.ndarray | None:
-    """The column of each block of a page, or None where the order should stay."""
-    text = page[(page["kind"] == "text") & page["x"].notna()]
-    if len(page) < 6 or len(text) < 6:
+def _columns(x: np.ndarray, is_text: np.ndarray, width: float) -> np.ndarray | None:
+    """The column of each block of a page, or None where the order should stay; x is NaN for blocks without a place."""
+    points = x[is_text & ~np.isnan(x)]
+    if len(x) < 6 or len(points) < 6:
         return None
-    points = text["x"].to_numpy(float)
     best = max(((silhouette(points, g), -k, g, m) for k in (2, 3) if len(points) >= 2 * k for g, m in [cluster(points, k)]), key=lambda t: t[:2], default=(0, 0, None, None))
-    x = page["x"].to_numpy(float)
     if best[0] > 0.2:
         _, _, group, middle = best
         order = np.sort(middle)
@@ -147,16 +145,20 @@ def reading_order(blocks: DataFrame, width: float = WIDTH) -> DataFrame:
     Pages where no columns are found, or not clearly, keep their order with column_no 0.
     """
 
-    def order(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("block_ord", kind="stable").reset_index(drop=True)
-        column = _columns(page, width)
-        page["column_no"] = 0 if column is None else column.astype(int)
+    def order(page: pa.Table) -> pa.Table:
+        page = page.sort_by("block_ord")
+        x, y = (page[c].to_numpy().astype(float) for c in ("x", "y"))
+        column = _columns(x, np.asarray(page["is_text"].to_numpy(), dtype=bool), width)
         if column is not None:
-            page["y"] = page["y"].fillna(0.0)
-            page = page.sort_values(["column_no", "y"], kind="stable")
-        page["read_ord"] = range(1, len(page) + 1)
-        return page[[*_PAGE, "block_ord", "column_no", "read_ord"]]
-
-    source = centers(blocks).select(*_PAGE, "block_ord", "x", "y", "kind")
+            at = np.lexsort((np.nan_to_num(y), column))  # stable: equal heights keep their order
+            page, column = page.take(at), column[at]
+        else:
+            column = np.zeros(len(x))
+        numbers = {"column_no": pa.array(column.astype("int32")), "read_ord": pa.array(np.arange(1, len(x) + 1, dtype="int32"))}
+        return pa.table({c: page[c] for c in (*_PAGE, "block_ord")} | numbers)
+
+    source = centers(blocks).select(*_PAGE, "block_ord", "x", "y", (F.col("kind") == "text").alias("is_text"))
     types = {f.name: f.dataType.simpleString() for f in source.schema}
-    return source.groupBy(*_PAGE).applyInPandas(order, f"doc_id {types['doc_id']}, page_no {types['page_no']}, block_ord {types['block_ord']}, column_no int, read_ord int")
+    # as many partitions as a shuffle has: a page costs time, not bytes, so that coalescing by size would put all in one
+    spread = source.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_PAGE)
+    return spread.groupBy(*_PAGE).applyInArrow(order, f"doc_id {types['doc_id']}, page_no {types['page_no']}, block_ord {types['block_ord']}, column_no int, read_ord int")

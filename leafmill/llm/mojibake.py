@@ -36,6 +36,8 @@ _PAIRS = [(a, b) for a in _MISTAKEN for b in _INTENDED if a != b]
 _CYRILLIC = [(a, b) for a, b in _PAIRS if {a, b} <= {"cp1251", "koi8_r", "cp866"}]
 #: A round trip is kept if it leaves at most this share of the cost, and repeated for so many layers.
 KEEP, LAYERS = 0.67, 6
+#: Runs up to this length are remembered; longer ones hardly repeat and would take memory.
+CACHED = 200
 
 
 @lru_cache(maxsize=None)
@@ -141,7 +143,7 @@ def cost(run: str, before: str = "", after: str = "") -> float:
     return total
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 17)
 def _cost(run: str, before: str, after: str) -> float:
     return cost(run, before, after)
 
@@ -177,7 +179,7 @@ def _utf8_again(run: str, encoding: str, before: str, after: str, last: bool, ke
     return gain, "".join([*out, run[at:]])
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 17)
 def _layers(run: str, before: str, after: str, last: bool) -> str:
     """A non-ASCII run with its layers of UTF-8 read in a legacy encoding taken off; runs repeat, so they are kept."""
     for _ in range(LAYERS):
@@ -204,7 +206,7 @@ def _line_cost(line: str) -> tuple[float, int]:
     total, n = 0.0, 0
     for m in _FOREIGN.finditer(line):
         a, b = m.span()
-        total += _cost(m[0], _side(line[a - 1 : a]) if a else "", _side(line[b : b + 1]))
+        total += (_cost if b - a <= CACHED else cost)(m[0], _side(line[a - 1 : a]) if a else "", _side(line[b : b + 1]))
         n += b - a
     return total, n
 
@@ -254,7 +256,8 @@ def repair(text: str) -> str:
         run, (a, b) = m[0], m.span()
         if b - a == 1:
             return run
-        return _layers(run, _side(text[a - 1 : a]) if a else "", _side(text[b : b + 1]), b == end)
+        layers = _layers if b - a <= CACHED else _layers.__wrapped__
+        return layers(run, _side(text[a - 1 : a]) if a else "", _side(text[b : b + 1]), b == end)
 
     text = _FOREIGN.sub(fix, text)
     if _WRONG.search(text):

@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from leafmill.llm.state import materialized
 
 
+#: So many equal rows are expanded at a time.
+COPIES = 100_000
+
+
 def partition(sizes: list[int], k: int) -> list[list[int]]:
     """Multiway differencing: the positions of `sizes` in k subsets of near-equal sums.
 
@@ -100,10 +104,15 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
         items.select(F.col(f"`{key}`").alias("key"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
         .groupBy("key", "size").agg(F.count("*").alias("copies"))
     )
-    total = counted.agg(F.sum(F.col("copies") * F.col("size")).alias("size"), F.sum("copies").alias("items")).first()
+    total = counted.agg(F.sum(F.col("copies") * F.col("size")).alias("size"), F.sum("copies").alias("items"), F.max("copies").alias("most")).first()
     groups = max(1, -(-(total["size"] or 0) // (capacity * windows)), -(-(total["items"] or 0) // group_items))
+    long = lambda x: F.lit(x).cast("long")
+    whole = counted.withColumn("first", long(1)).withColumn("last", F.col("copies"))
+    if (total["most"] or 0) > COPIES:  # a row repeated that often is expanded by several tasks
+        chunks = counted.select("key", "size", "copies", F.explode(F.sequence(long(0), F.expr(f"(copies - 1) div {COPIES}"))).alias("chunk"))
+        whole = chunks.withColumn("first", F.col("chunk") * COPIES + 1).withColumn("last", F.least("copies", (F.col("chunk") + 1) * COPIES)).repartition("key", "size", "chunk")
     pieces = (
-        counted.select("key", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy_no"))
+        whole.select("key", "size", F.explode(F.sequence("first", "last")).alias("copy_no"))
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(size - 1) div {capacity}")))).alias("piece"))
         .select(
             "key", "copy_no", (F.col("piece") + 1).cast("int").alias("piece_no"),

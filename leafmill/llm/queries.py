@@ -31,7 +31,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@query("p2_found")
+# entities stand for no letters in lines that repeat, so that SQL can drop them
+_LETTERS = r"""lower(regexp_replace(regexp_replace(regexp_replace(line, '<!--.*?-->|</?[A-Za-z][^<>]*>|<![^<>]*>', '', 'g'),
+    '&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);', '', 'g'), '[^\p{L}]', '', 'g'))"""
+_P2 = f"""
+with l as (select 'pages' as tbl, row_id, doc_id, unnest(string_split(html, chr(10))) as line, generate_subscripts(string_split(html, chr(10)), 1)::int as line_no from pages
+    union all select 'sections', section_id, doc_id, unnest(string_split(html, chr(10))), generate_subscripts(string_split(html, chr(10)), 1)::int from sections),
+k as (select tbl, row_id, line_no, source, doc_id, {_LETTERS} as letters from l join (select doc_id, min(source) as source from parsed_documents group by 1) d using (doc_id)),
+c as (select source, count(distinct doc_id) as n from parsed_documents group by 1),
+r as (select source, letters from k join c using (source) where tbl = 'pages' and length(letters) >= 12 group by source, letters, n having count(distinct doc_id) >= 3 and count(distinct doc_id) >= 0.1 * n)
+select tbl, row_id, line_no from k join r using (source, letters)
+"""
+
+
+@query("p2_found", _P2)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, documents = table(spark, sf_dir, "pages"), table(spark, sf_dir, "parsed_documents")
     repeated = boilerplate.repeated_lines(pages, documents)
@@ -42,7 +55,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("p3_found")
+def _form_sql(x: str) -> str:
+    """The look-alike-mapped form in SQL; composition stands in for the collation."""
+    chars, plain, several = confusables._maps()
+    quoted = [t.replace("'", "''") for t in (chars, plain)]
+    out = f"translate({x}, '{quoted[0]}', '{quoted[1]}')"
+    for char, letters in several.items():
+        out = f"replace({out}, '{char}', '{letters}')"
+    return f"trim(nfc_normalize({out}), ' ')"
+
+
+_DECIMAL = "list_reduce(list_prepend(h, list_distinct(regexp_extract_all(h, '&#[0-9]+;'))), lambda a, e: replace(a, e, chr(regexp_extract(e, '[0-9]+')::int)))"
+_HEX = "list_reduce(list_prepend(h, list_distinct(regexp_extract_all(h, '&#x[0-9A-Fa-f]+;'))), lambda a, e: replace(a, e, chr(('0x' || e[4:-2])::int)))"
+_P3 = f"""
+with h0 as (select row_id, unnest(regexp_extract_all(html, '(?is)<h2[^>]*>(.*?)</h2>', 1) || regexp_extract_all(html, '(?is)<h3[^>]*>(.*?)</h3>', 1) || regexp_extract_all(html, '(?is)<h4[^>]*>(.*?)</h4>', 1)) as h from pages),
+h1 as (select row_id, replace(regexp_replace(h, '</?[A-Za-z][^<>]*>', '', 'g'), '&nbsp;', chr(160)) as h from h0), h2 as (select row_id, {_DECIMAL} as h from h1), h3 as (select row_id, {_HEX} as h from h2),
+t as (select 'pages' as tbl, row_id, replace(h, '&amp;', '&') as text from h3 union all select 'outline', row_id, title from outline union all select 'table_cells', row_id, text from table_cells)
+select distinct tbl, row_id, ref_id from t join ref_titles on {_form_sql('text')} = {_form_sql('label')} and text <> label
+"""
+
+
+@query("p3_found", _P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = (
         confusables.headings(table(spark, sf_dir, "pages")).select(F.lit("pages").alias("tbl"), "row_id", "text")

@@ -58,3 +58,13 @@ def test_whole_result(spark):
 def test_empty_table_and_only_zeroes(spark):
     assert packed(spark, [], 10) == []
     assert len(packed(spark, [(1, 0), (1, 0), (2, None)], 10)) == 3
+
+
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    got = packed(spark, [(1, 3)] * 50 + [(2, 5)] * 7 + [(3, 25)], 10)
+    assert sorted((r.doc_id, r.copy_no) for r in got if r.doc_id < 3) == [(1, i) for i in range(1, 51)] + [(2, i) for i in range(1, 8)]
+    load = Counter()
+    for r in got:
+        load[r.container_id] += r.piece_size
+    assert max(load.values()) <= 10 and sum(load.values()) == 50 * 3 + 35 + 25

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.html import escape, replace_each
@@ -147,3 +147,25 @@ def caption_map(images: DataFrame, keys: list[str], order: str = "img_ord") -> D
     """(keys, captions): a map of file names to captions; of images with one name the last captioned counts."""
     last = images.where("caption is not null and caption <> ''").groupBy(*keys, "name").agg(F.max_by("caption", F.struct(order, "caption")).alias("caption"))
     return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "caption")))).alias("captions"))
+
+
+def image_tags(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """(keys, img_ord, src, name, alt) of each image tag with a source in double quotes; alt is null without one."""
+    found = pages.where(F.col(html).contains("<img")).select(*keys, _numbered(F.regexp_extract_all(html, F.lit(r'<img[^>]*\ssrc="[^"]*"[^>]*>'), F.lit(0))))
+    src = F.regexp_extract("found", r'\ssrc="([^"]*)"', 1)
+    alt = F.when(F.col("found").rlike(r'\salt="'), F.regexp_extract("found", r'\salt="([^"]*)"', 1))
+    return found.select(*keys, (F.col("at") + 1).alias("img_ord"), src.alias("src"), F.element_at(F.split(src, "/"), -1).alias("name"), alt.alias("alt"))
+
+
+def all_images(embedded: DataFrame, referenced: DataFrame, keys: list[str]) -> DataFrame:
+    """Embedded images of a page first, then those it refers to, numbered through: (keys, img_ord, name, origin)."""
+    both = embedded.select(*keys, "img_ord", "name", F.lit("embedded").alias("origin")).unionByName(referenced.select(*keys, "img_ord", "name", F.lit("referenced").alias("origin")))
+    return both.withColumn("img_ord", F.row_number().over(Window.partitionBy(*keys).orderBy("origin", "img_ord")))
+
+
+def pages_with_tables(pages: DataFrame, rendered: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """`pages` with their k-th HTML table replaced by the k-th rendered one (keys, table_ord, html) of the page."""
+    by_place = rendered.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("table_ord", F.col("html").alias("h")))).alias("__by"), F.max("table_ord").alias("__most"))
+    listed = by_place.select(*keys, F.transform(F.sequence(F.lit(1), F.greatest("__most", F.lit(1))), lambda n: F.try_element_at("__by", n)).alias("__tables"))
+    none = F.array().cast("array<string>")
+    return pages.join(listed, keys, "left").withColumn(html, put_tables(F.col(html), F.coalesce("__tables", none))).drop("__tables")

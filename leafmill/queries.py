@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import html as html_
 from leafmill.functions import text
+from leafmill.operators import diagnostics as diagnose
 from leafmill.operators import engines, entries, extract, layout, manifest, outline, pages, sections, tables, toc
 from leafmill.operators.nested import flatten_tables
 from leafmill.plans import convert
+from leafmill.sources import json_cache as cache
+from leafmill.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -528,3 +531,75 @@ def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("conversion_counts")
 def conversion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.convert_tables(spark, sf_dir).pages.groupBy("doc_id").agg(F.countDistinct("entry_id").alias("entries"), F.count("*").alias("pages"), F.sum(F.length("content")).alias("chars"))
+
+
+# What is wrong, images, titles
+
+_DOCS = "(select doc_id, min(page_count) as page_count from parsed_documents group by 1)"
+
+
+@query("diagnostics", f"""
+select doc_id, null::int as page_no, 'outline-missing' as code, 'warning' as severity, 'no outline' as message from {_DOCS} where doc_id not in (select doc_id from outline where doc_id is not null)
+union all select doc_id, null, 'page-count-missing', 'warning', 'no page count' from {_DOCS} where page_count is null
+union all select doc_id, page_no, 'page-empty', 'warning', 'no html' from pages where html is null or html = ''
+union all select doc_id, page_no, 'page-beyond-end', 'error', 'behind the last page' from pages join {_DOCS} using (doc_id) where page_no > page_count
+union all select doc_id, null, 'outline-page-invalid', 'warning', 'node ' || node_id from outline join {_DOCS} using (doc_id) where page is null or page < 1 or page > page_count
+union all select doc_id, page_no, 'page-delivered-again', 'info', count(*) || ' deliveries' from pages group by doc_id, page_no having count(*) > 1
+union all select distinct doc_id, page_no, 'table-without-box', 'warning', table_id from table_cells where tbl_x0 is null or tbl_y0 is null or tbl_x1 is null or tbl_y1 is null
+""")
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.diagnostics(*(table(spark, sf_dir, n) for n in ("parsed_documents", "pages", "outline", "table_cells")))
+
+
+_TAGS = """
+select row_id, generate_subscripts(m, 1)::int as img_ord, unnest(m) as tag from (select row_id, regexp_extract_all(html, '<img[^>]*\\ssrc="[^"]*"[^>]*>') as m from pages)
+"""
+
+
+@query("image_tags", f"""select row_id, img_ord, regexp_extract(tag, '\\ssrc="([^"]*)"', 1) as src, string_split(regexp_extract(tag, '\\ssrc="([^"]*)"', 1), '/')[-1] as name,
+    case when regexp_matches(tag, '\\salt="') then regexp_extract(tag, '\\salt="([^"]*)"', 1) end as alt from ({_TAGS})""")
+def image_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.image_tags(table(spark, sf_dir, "pages"), ["row_id"])
+
+
+@query("all_images", f"""select row_id, (row_number() over (partition by row_id order by origin, img_ord))::int as img_ord, name, origin from (
+    select row_id, img_ord, {_NAME} as name, 'embedded' as origin from ({_EMBEDDED})
+    union all select row_id, img_ord, string_split(regexp_extract(tag, '\\ssrc="([^"]*)"', 1), '/')[-1], 'referenced' from ({_TAGS}) where not contains(tag, 'src="data:'))""")
+def all_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "pages")
+    referenced = extract.image_tags(source, ["row_id"]).where(~F.col("src").startswith("data:"))
+    return extract.all_images(extract.embedded_images(source, ["row_id"]), referenced, ["row_id"])
+
+
+@query("title_blocks", """select doc_id, trim(arg_min(text, row_id), ' ') as title from table_cells where page_no = 1 and is_header and regexp_matches(text, '[^\\s]') group by 1""")
+def title_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.title_blocks(_blocks(spark, sf_dir).withColumn("font_size", F.lit(None).cast("double")))
+
+
+@query("pages_with_tables")
+def pages_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "table_cells")
+    places = cells.select("doc_id", "page_no", "table_id", "table_ord").distinct()
+    rendered = tables.render_tables(tables.table_grid(cells)).join(places, ["doc_id", "page_no", "table_id"])
+    first = pages.first_deliveries(table(spark, sf_dir, "pages"))
+    return extract.pages_with_tables(first, rendered, ["doc_id", "page_no"]).select("doc_id", "page_no", F.md5("html").alias("h"))
+
+
+# The cache of converted documents
+
+@query("json_cache", f"""select doc_id, greatest(coalesce(page_count, 0), coalesce(last, 0))::int as num_pages, coalesce(chars, 0)::bigint as chars
+    from (select doc_id, max(page_count) as page_count from parsed_documents group by 1) left join (select doc_id, max(page_no) as last, sum(length(html)) as chars from ({_FIRST}) group by 1) using (doc_id)""")
+def json_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON and read back."""
+    first = pages.first_deliveries(table(spark, sf_dir, "pages"))
+    good, bad = cache.parse_cache(cache.to_cache(table(spark, sf_dir, "parsed_documents"), first), "json")
+    chars = F.aggregate("pages_html", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p))
+    empty = bad.select(F.get_json_object("json", "$.doc_id").alias("doc_id"), F.lit(0).alias("num_pages"), F.lit(0).cast("long").alias("chars"))
+    return good.select("doc_id", "num_pages", chars.alias("chars")).unionByName(empty)
+
+
+@query("file_names", _TREE + f"""select distinct doc_id, chapter_ord, lpad(chapter_ord::varchar, 3, '0') || '-' || {_slug_sql('entry_name')} || '.json' as file_name
+    from (select doc_id, chapter_ord, coalesce({_STRIP.replace("T", "chapter_title")}, 'Untitled Chapter ' || chapter_ord) as entry_name from spans)""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _page_names(spark, sf_dir).select("doc_id", "chapter_ord", "entry_id", F.col("entry_name").alias("name")).distinct()
+    return sinks.file_names(named).select("doc_id", "chapter_ord", "file_name")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.operators.entries import entry_pages, nest_entries
+from leafmill.operators.entries import entry_pages, name_pages, nest_entries
 from leafmill.operators.outline import fallback_outline, outline_tree, title_blocks
 from leafmill.operators.pages import first_deliveries, select_pages
 from leafmill.operators.sections import merge_pages, spans
@@ -28,9 +28,11 @@ def convert(documents: DataFrame, pages: DataFrame, outline: DataFrame, options:
     nodes = outline.select("doc_id", "node_id", "parent_id", "sibling_ord", "title", "page")
     nodes = nodes.unionByName(fallback_outline(documents, outline, title_blocks(blocks) if blocks is not None else None))
     chosen = select_pages(first_deliveries(pages), list(options.pages) if options.pages is not None else None)
-    sections = merge_pages(spans(outline_tree(nodes, documents), first_pages=not options.compat), chosen)
+    bare = spans(outline_tree(nodes, documents), first_pages=not options.compat)
+    sections = merge_pages(bare, chosen)
     own = entry_pages(sections, documents, options.scope, options.repair)
-    all_pages = own.unionByName(toc_entries(own, scope=options.scope))
+    # contents need names only, so they are made from the spans, without the text
+    all_pages = own.unionByName(toc_entries(name_pages(bare, documents), scope=options.scope))
     return Converted(sections, all_pages, nest_entries(all_pages))
 
 

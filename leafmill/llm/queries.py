@@ -113,8 +113,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p5_paragraphs")
 def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, titles, words = (table(spark, sf_dir, n) for n in ("pages", "parsed_documents", "lexicon"))
-    return scanfix.paragraphs(pages, titles, words)
+    pages, cells, titles, words = (table(spark, sf_dir, n) for n in ("pages", "table_cells", "parsed_documents", "lexicon"))
+    return scanfix.paragraphs(pages, titles, words, cells)
 
 
 @query("p6_ids")

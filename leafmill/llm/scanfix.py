@@ -363,38 +363,58 @@ def _supported(pages: DataFrame, found: DataFrame, fit: DataFrame, lexicon: Lexi
     return lone.join(chosen, ["row_id", "line_no", "word"], "left").select("row_id", "line_no", "word", F.coalesce("best", "proper").alias("proper"))
 
 
-_INDENT = r"^(?:\s*<[^<>]*>)*(?:&nbsp;|&#160;|&#xa0;|\u00a0|\t|  )"
+# By whether a line has markup.
+_INDENT = {True: r"^(?:\s*<[^<>]*>)*(?:&nbsp;|&#160;|&#xa0;|\u00a0|\t|  )", False: r"^(?:\u00a0|\t|  )"}
 
 
-def paragraphs(pages: DataFrame, titles: DataFrame, words: DataFrame) -> DataFrame:
-    """(row_id, paragraph, text) of the scans among `pages`: without furniture, words whole and set right, reflowed.
+def paragraphs(pages: DataFrame, titles: DataFrame, words: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(tbl, row_id, paragraph, text) of the scans among `pages` and of all `cells`: without furniture (pages only), words
+    whole and set right, reflowed.
 
     A paragraph begins at an indented line and at a row's first line. What is known of a row's lines comes to the row
-    as one small map, so a page moves once, to its row_id; lines, windows and paragraphs are made where it then lies.
+    as one small map, so a row moves once, to its row_id; lines, windows and paragraphs are made where it then lies.
     Rows delivered twice under one row_id count once (the first in order of their columns).
     """
     lexicon = Lexicon(words)
     scans = pages.where(is_scan() & F.col("html").isNotNull())
     found = suspects(page_lines(scans), lexicon, with_text=True)
-    fixes = _supported(scans, found, misread_words(found, lexicon), lexicon).select("row_id", "line_no", "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
+    heads = furniture(found, titles)
+    once = scans.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p")).select("row_id", F.col("p.html").alias("text"))
+    out = _reflowed(once, _repairs(scans, found, lexicon, heads), True).select(F.lit("pages").alias("tbl"), "row_id", "paragraph", "text")
+    if cells is None:
+        return out
+    found = suspects(cell_lines(cells), lexicon, with_text=True)
+    once = cells.where("text is not null").groupBy("row_id").agg(F.min("text").alias("text"))
+    return out.unionAll(_reflowed(once, _repairs(scans, found, lexicon), False).select(F.lit("table_cells").alias("tbl"), "row_id", "paragraph", "text"))
+
+
+def _repairs(pages: DataFrame, found: DataFrame, lexicon: Lexicon, heads: DataFrame | None = None) -> DataFrame:
+    """(row_id, known): by line number what there is to mend in a row, from its `suspects` and its furniture."""
+    fixes = _supported(pages, found, misread_words(found, lexicon), lexicon).select("row_id", "line_no", "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
     fix = F.struct("word", "proper").alias("fix")
     none, no_fix = F.lit(None).cast("string").alias("joined"), F.lit(None).cast("struct<word:string,proper:string>").alias("fix")
     known = (
         fixes.unionByName(misread_numbers(found)).select("row_id", "line_no", fix, none, F.lit(False).alias("out"))
         .unionAll(divided(found, lexicon).select("row_id", "line_no", no_fix, "joined", F.lit(False)))
-        .unionAll(furniture(found, titles).select("row_id", "line_no", no_fix, none, F.lit(True)))
-        .groupBy("row_id", "line_no").agg(F.array_sort(F.collect_set("fix")).alias("fixes"), F.max("joined").alias("joined"), F.max("out").alias("out"))
+    )
+    if heads is not None:
+        known = known.unionAll(heads.select("row_id", "line_no", no_fix, none, F.lit(True)))
+    return (
+        known.groupBy("row_id", "line_no").agg(F.array_sort(F.collect_set("fix")).alias("fixes"), F.max("joined").alias("joined"), F.max("out").alias("out"))
         .groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.struct("fixes", "joined", "out").alias("at")))).alias("known"))
     )
-    once = scans.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p")).select("row_id", "p.html")
-    lines = once.join(known, "row_id", "left").select("row_id", "known", F.posexplode(F.split("html", "\n", -1)).alias("pos", "raw"))
+
+
+def _reflowed(rows: DataFrame, known: DataFrame, markup: bool) -> DataFrame:
+    """(row_id, paragraph, text) of `rows` (row_id, text), their lines mended as `known`."""
+    lines = rows.join(known, "row_id", "left").select("row_id", "known", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     lines = lines.select("row_id", (F.col("pos") + 1).alias("line_no"), "raw", F.try_element_at("known", F.col("pos") + 1).alias("at")).where("at is null or not at.out")
-    lines = _with_text(lines, True)
+    lines = _with_text(lines, markup)
     fixed = F.expr(
         r"aggregate(coalesce(at.fixes, array()), text, (t, f) -> regexp_replace(t, concat('(?<![\\p{L}\\p{N}|])\\Q', f.word, '\\E(?![\\p{L}\\p{N}|])'), f.proper))"
     )
     in_row = Window.partitionBy("row_id").orderBy("line_no")
-    body = lines.select("row_id", "line_no", fixed.alias("text"), F.col("raw").rlike(_INDENT).alias("indent"), F.col("at.joined").alias("joined"), F.lag("at.joined").over(in_row).alias("after"))
+    body = lines.select("row_id", "line_no", fixed.alias("text"), F.col("raw").rlike(_INDENT[markup]).alias("indent"), F.col("at.joined").alias("joined"), F.lag("at.joined").over(in_row).alias("after"))
     text = F.when(F.col("after").isNotNull(), F.regexp_replace("text", r"^[^\p{L}\p{N}|]*[\p{L}\p{N}|]+", "")).otherwise(F.col("text"))
     text = F.when(F.col("joined").isNotNull(), F.concat(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}|]+[{_HYPHENS}]$", ""), "joined")).otherwise(text)
     begins = (F.row_number().over(in_row) == 1) | F.col("indent") & F.col("after").isNull()

@@ -46,6 +46,15 @@ def test_paragraphs(spark, words):
     assert [r.text for r in got] == ["Warden of the water tower, fertile morning upper- and lower errand winter-garden 1914 K7 Wiscor upper- and lower polish - stranger"]
 
 
+def test_paragraphs_of_cells(spark, words):
+    rows = [(1, "wat-\ner tower"), (2, "7"), (3, "upper-\nand lower"), (4, "x<y clearlng 2O5"), (5, None), (6, " \n"), (7, "the towcr\n  or garden"), (1, "wat-\ner tower")]
+    got = x.paragraphs(pages(spark, [(1, "d", 7, "<p>watcr</p>", "scan")]), titles(spark, []), words, cells(spark, rows)).collect()
+    assert sorted((r.tbl, r.row_id, r.paragraph, r.text) for r in got) == [
+        ("pages", 1, 1, "water"), ("table_cells", 1, 1, "water tower"), ("table_cells", 2, 1, "7"), ("table_cells", 3, 1, "upper- and lower"),
+        ("table_cells", 4, 1, "x<y clearing 205"), ("table_cells", 7, 1, "the tower"), ("table_cells", 7, 2, "or garden"),
+    ]
+
+
 def test_cells_have_no_furniture_and_no_markup(spark, words):
     rows = [(1, "wat-\ner tower"), (2, "inner\nand upper-\nand lower"), (3, "<b>clearlng</b> 7"), (4, None), (5, ""), (6, "7"), (7, "w​inter silver­"), (1, "wat-\ner tower"), (8, "x<y 2O5")]
     assert found(spark, words, [], rows) == {("table_cells", 1, 1, "break"), ("table_cells", 3, 1, "misread"), ("table_cells", 8, 1, "misread")}

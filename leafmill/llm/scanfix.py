@@ -15,7 +15,8 @@ side, beyond that both are shuffled joins. What is gathered per document is two
 shuffle.
 
 Defined results: null and empty texts have no lines; a null page number matches no number; null origin counts as a
-scan where the page carries OCR classes; rows are found once however often they are repeated; an empty lexicon finds
+scan where the page carries OCR classes (ocr, ocr_page, ...); without them a page has no furniture, and is repaired to
+paragraphs if words of it are divided or misread; rows are found once however often they are repeated; an empty lexicon finds
 furniture only.
 """
 
@@ -248,9 +249,17 @@ def text_lines(df: DataFrame, keys: list[str], text: str, page: Column | None =
     )
 
 
+_OCR_CLASS = r"""(?i)<[a-z][^<>]*\sclass\s*=\s*["']?(?:[^"'<>]*\s)?ocrx?(?![a-z0-9])"""
+
+
+def has_ocr_class() -> Column:
+    """Whether a page's html has an element of a class ocr, ocr_page, ocr-content and the like."""
+    return F.coalesce(F.when(F.col("html").rlike("(?i)ocr"), F.col("html").rlike(_OCR_CLASS)), F.lit(False))
+
+
 def is_scan() -> Column:
     """Whether a page (origin, html) is a scan; without an origin, by its OCR classes."""
-    return F.coalesce(F.col("origin"), F.when(F.col("html").contains("ocr_"), "scan"), F.lit("")) == "scan"
+    return F.when(F.col("origin").isNull(), has_ocr_class()).otherwise(F.col("origin") == "scan")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -368,24 +377,24 @@ _INDENT = {True: r"^(?:\s*<[^<>]*>)*(?:&nbsp;|&#160;|&#xa0;|\u00a0|\t|  )", Fals
 
 
 def paragraphs(pages: DataFrame, titles: DataFrame, words: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """(tbl, row_id, paragraph, text) of the scans among `pages` and of all `cells`: without furniture (pages only), words
-    whole and set right, reflowed.
+    """(tbl, row_id, paragraph, text) of the scans among `pages`, those of no origin that show noise, and all `cells`:
+    without furniture (pages only), words whole and set right, reflowed.
 
     A paragraph begins at an indented line and at a row's first line. What is known of a row's lines comes to the row
     as one small map, so a row moves once, to its row_id; lines, windows and paragraphs are made where it then lies.
     Rows delivered twice under one row_id count once (the first in order of their columns).
     """
     lexicon = Lexicon(words)
-    scans = pages.where(is_scan() & F.col("html").isNotNull())
-    found = suspects(page_lines(scans), lexicon, with_text=True)
+    read = pages.where((is_scan() | F.col("origin").isNull()) & F.col("html").isNotNull())
+    found = suspects(page_lines(read), lexicon, with_text=True)
     heads = furniture(found, titles)
-    once = scans.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p")).select("row_id", F.col("p.html").alias("text"))
-    out = _reflowed(once, _repairs(scans, found, lexicon, heads), True).select(F.lit("pages").alias("tbl"), "row_id", "paragraph", "text")
+    once = read.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p"), F.max(is_scan()).alias("sure")).select("row_id", F.col("p.html").alias("text"), "sure")
+    out = _reflowed(once, _repairs(read, found, lexicon, heads), True).select(F.lit("pages").alias("tbl"), "row_id", "paragraph", "text")
     if cells is None:
         return out
     found = suspects(cell_lines(cells), lexicon, with_text=True)
-    once = cells.where("text is not null").groupBy("row_id").agg(F.min("text").alias("text"))
-    return out.unionAll(_reflowed(once, _repairs(scans, found, lexicon), False).select(F.lit("table_cells").alias("tbl"), "row_id", "paragraph", "text"))
+    once = cells.where("text is not null").groupBy("row_id").agg(F.min("text").alias("text")).withColumn("sure", F.lit(True))
+    return out.unionAll(_reflowed(once, _repairs(read, found, lexicon), False).select(F.lit("table_cells").alias("tbl"), "row_id", "paragraph", "text"))
 
 
 def _repairs(pages: DataFrame, found: DataFrame, lexicon: Lexicon, heads: DataFrame | None = None) -> DataFrame:
@@ -406,8 +415,9 @@ def _repairs(pages: DataFrame, found: DataFrame, lexicon: Lexicon, heads: DataFr
 
 
 def _reflowed(rows: DataFrame, known: DataFrame, markup: bool) -> DataFrame:
-    """(row_id, paragraph, text) of `rows` (row_id, text), their lines mended as `known`."""
-    lines = rows.join(known, "row_id", "left").select("row_id", "known", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    """(row_id, paragraph, text) of `rows` (row_id, text, sure), their lines mended as `known`; rows that are not sure
+    to be scans only if something is known of them."""
+    lines = rows.join(known, "row_id", "left").where("sure or known is not null").select("row_id", "known", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     lines = lines.select("row_id", (F.col("pos") + 1).alias("line_no"), "raw", F.try_element_at("known", F.col("pos") + 1).alias("at")).where("at is null or not at.out")
     lines = _with_text(lines, markup)
     fixed = F.expr(

@@ -55,6 +55,19 @@ def test_paragraphs_of_cells(spark, words):
     ]
 
 
+def test_scans_without_origin(spark, words):
+    text = "\n3  The Silver Garden and Wiscor\nwarden of the wat-\n- 3 -\ner tovver\n</div>"
+    marks = ['class="ocr"', "id='a' class='big ocr_page'", "class=ocrx_word", 'class="mediocre"', 'title="ocr_page"']
+    rows = [(i, "d", 3, f"<div {m}>{text}", None) for i, m in enumerate(marks, 1)] + [(6, "d", 3, "<p>the tower</p>", None), (7, "d", 3, "<p>the tovver</p>", "digital"), (8, "d", 3, '<p class="ocr">the tower</p>', None)]
+    got = found(spark, words, rows)
+    assert {(r, n) for _, r, n, k in got if k == "furniture"} == {(r, n) for r in (1, 2, 3) for n in (2, 4)}
+    assert {(r, n) for _, r, n, k in got if k == "break"} == {(r, 3) for r in (1, 2, 3)}
+    texts = {r.row_id: r.text for r in x.paragraphs(pages(spark, rows), titles(spark, []), words).collect()}
+    assert [texts[r] for r in (1, 2, 3, 8)] == ["warden of the water tower"] * 3 + ["the tower"]
+    # no OCR class, but misread words: kept, with all lines
+    assert texts[4] == texts[5] == "3 The Silver Garden and Wiscor warden of the wat- - 3 - er tower" and not {6, 7} & set(texts)
+
+
 def test_cells_have_no_furniture_and_no_markup(spark, words):
     rows = [(1, "wat-\ner tower"), (2, "inner\nand upper-\nand lower"), (3, "<b>clearlng</b> 7"), (4, None), (5, ""), (6, "7"), (7, "w​inter silver­"), (1, "wat-\ner tower"), (8, "x<y 2O5")]
     assert found(spark, words, [], rows) == {("table_cells", 1, 1, "break"), ("table_cells", 3, 1, "misread"), ("table_cells", 8, 1, "misread")}

@@ -352,21 +352,32 @@ def find_noise(pages: DataFrame, cells: DataFrame, titles: DataFrame, words: Dat
     return reduce(DataFrame.unionAll, parts).distinct()
 
 
-def _supported(pages: DataFrame, found: DataFrame, fit: DataFrame, lexicon: Lexicon) -> DataFrame:
+_WORDS = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9|]+"), F.lit(0))
+
+
+def word_uses(pages: DataFrame, cells: DataFrame | None, lexicon: Lexicon) -> DataFrame:
+    """(proper, prev, together): how often a word that may be in doubt follows another one in all `pages` and `cells`,
+    scanned or not; null begins a text. Counted once, as all that asks for it is small."""
+    # only words that share a skeleton with another one can be in doubt; these leave the texts with their forerunner
+    pairs = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("proper"), F.when(i > 0, F.try_element_at(F.col("w"), F.greatest(i, F.lit(1)))).alias("prev"))), lambda p: lexicon.in_doubt(p.proper))
+    texts = pages.select(_WORDS(strip_tags(F.col("html"), " ")).alias("w"))
+    if cells is not None:
+        texts = texts.unionAll(cells.select(_WORDS(F.col("text")).alias("w")))
+    return materialized(texts.select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together")))
+
+
+def _supported(uses: DataFrame, found: DataFrame, fit: DataFrame) -> DataFrame:
     """`fit` (row_id, line_no, word, proper) with one `proper` each: where a misreading has several, the nearest,
-    of these the one that follows the same word most often in `pages`, then the most frequent, then the first by letter. `found` are
+    of these the one that follows the same word most often in `uses`, then the most frequent, then the first by letter. `found` are
     `suspects` with their text."""
     lone = fit.groupBy("row_id", "line_no", "word").agg(F.min("proper").alias("proper"), F.max("proper").alias("other"))
     several = lone.where("proper <> other").select("row_id", "line_no", "word")
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9|]+"), F.lit(0))
-    # only words that share a skeleton with another one can be in doubt; these leave the pages with their forerunner
-    pairs = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("proper"), F.when(i > 0, F.try_element_at(F.col("w"), F.greatest(i, F.lit(1)))).alias("prev"))), lambda p: lexicon.in_doubt(p.proper))
-    uses = pages.select(tokens(strip_tags(F.col("html"), " ")).alias("w")).select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together"))
-    uses = uses.withColumn("alone", F.sum("together").over(Window.partitionBy("proper")))
+    alone = uses.groupBy("proper").agg(F.sum("together").alias("alone"))
     before = F.expr("transform(filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), p -> p.x = lower(word) and p.i > 0), p -> w[p.i - 1])")
-    texts = found.select("row_id", "line_no", tokens(F.col("text")).alias("w")).distinct()
+    texts = found.select("row_id", "line_no", _WORDS(F.col("text")).alias("w")).distinct()
     context = several.join(texts, ["row_id", "line_no"]).select("row_id", "line_no", "word", F.explode_outer(before).alias("prev")).distinct()
-    choice = context.join(fit, ["row_id", "line_no", "word"]).join(uses, ["proper", "prev"], "left")
+    # a word that never follows this one still counts by itself
+    choice = context.join(fit, ["row_id", "line_no", "word"]).join(uses, ["proper", "prev"], "left").join(alone, "proper", "left")
     best = F.min_by("proper", F.struct(F.levenshtein(F.lower("word"), F.col("proper")), -F.coalesce("together", F.lit(0)), -F.coalesce("alone", F.lit(0)), "proper"))
     chosen = choice.groupBy("row_id", "line_no", "word").agg(best.alias("best"))
     return lone.join(chosen, ["row_id", "line_no", "word"], "left").select("row_id", "line_no", "word", F.coalesce("best", "proper").alias("proper"))
@@ -385,21 +396,22 @@ def paragraphs(pages: DataFrame, titles: DataFrame, words: DataFrame, cells: Dat
     Rows delivered twice under one row_id count once (the first in order of their columns).
     """
     lexicon = Lexicon(words)
+    uses = word_uses(pages, cells, lexicon)
     read = pages.where((is_scan() | F.col("origin").isNull()) & F.col("html").isNotNull())
     found = suspects(page_lines(read), lexicon, with_text=True)
     heads = furniture(found, titles)
     once = read.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p"), F.max(is_scan()).alias("sure")).select("row_id", F.col("p.html").alias("text"), "sure")
-    out = _reflowed(once, _repairs(read, found, lexicon, heads), True).select(F.lit("pages").alias("tbl"), "row_id", "paragraph", "text")
+    out = _reflowed(once, _repairs(uses, found, lexicon, heads), True).select(F.lit("pages").alias("tbl"), "row_id", "paragraph", "text")
     if cells is None:
         return out
     found = suspects(cell_lines(cells), lexicon, with_text=True)
     once = cells.where("text is not null").groupBy("row_id").agg(F.min("text").alias("text")).withColumn("sure", F.lit(True))
-    return out.unionAll(_reflowed(once, _repairs(read, found, lexicon), False).select(F.lit("table_cells").alias("tbl"), "row_id", "paragraph", "text"))
+    return out.unionAll(_reflowed(once, _repairs(uses, found, lexicon), False).select(F.lit("table_cells").alias("tbl"), "row_id", "paragraph", "text"))
 
 
-def _repairs(pages: DataFrame, found: DataFrame, lexicon: Lexicon, heads: DataFrame | None = None) -> DataFrame:
+def _repairs(uses: DataFrame, found: DataFrame, lexicon: Lexicon, heads: DataFrame | None = None) -> DataFrame:
     """(row_id, known): by line number what there is to mend in a row, from its `suspects` and its furniture."""
-    fixes = _supported(pages, found, misread_words(found, lexicon), lexicon).select("row_id", "line_no", "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
+    fixes = _supported(uses, found, misread_words(found, lexicon)).select("row_id", "line_no", "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
     fix = F.struct("word", "proper").alias("fix")
     none, no_fix = F.lit(None).cast("string").alias("joined"), F.lit(None).cast("struct<word:string,proper:string>").alias("fix")
     known = (

@@ -68,6 +68,16 @@ def test_scans_without_origin(spark, words):
     assert texts[4] == texts[5] == "3 The Silver Garden and Wiscor warden of the wat- - 3 - er tower" and not {6, 7} & set(texts)
 
 
+def test_support_comes_from_all_texts(spark):
+    words = spark.createDataFrame([(w,) for w in "at of look the".split()], "word string")
+    rows = [(1, "d", 1, "<p>look ot the</p>", "scan"), (2, "d", 2, "<p>the ot</p>", "scan"), (3, "d", 3, "<p>look of</p>", "digital"), (4, "d", 4, "<p>of of</p>", "digital")]
+    texts = lambda *c: sorted((r.tbl, r.row_id, r.text) for r in x.paragraphs(pages(spark, rows), titles(spark, []), words, cells(spark, list(c))).collect() if r.text.startswith(("look", "the")))
+    # by context, and by frequency where neither word follows "the"
+    assert texts() == [("pages", 1, "look of the"), ("pages", 2, "the of")]
+    more = [(n, "look at") for n in range(5, 10)]
+    assert texts(*more)[:2] == [("pages", 1, "look at the"), ("pages", 2, "the at")]
+
+
 def test_cells_have_no_furniture_and_no_markup(spark, words):
     rows = [(1, "wat-\ner tower"), (2, "inner\nand upper-\nand lower"), (3, "<b>clearlng</b> 7"), (4, None), (5, ""), (6, "7"), (7, "w​inter silver­"), (1, "wat-\ner tower"), (8, "x<y 2O5")]
     assert found(spark, words, [], rows) == {("table_cells", 1, 1, "break"), ("table_cells", 3, 1, "misread"), ("table_cells", 8, 1, "misread")}

@@ -1,4 +1,4 @@
-"""python -m leafmill convert IN OUT [--pages SPEC] [--ocr auto|on|off] [--no-repair]   or   python -m leafmill doctor"""
+"""python -m leafmill convert IN OUT [--pages SPEC] [--no-repair] [--first-pages]   or   python -m leafmill doctor"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""The whole conversion of a corpus: pages and outlines to sections, entries and tables of contents, as one plan."""
+"""The conversion of a corpus as one plan: pages and outlines to sections, entries and tables of contents.
+
+Left out are embedded and referenced images, tables, recognition, captions and reading order; their operators are in
+`leafmill.operators` and are not called here. Options that ask for one of them raise FeatureMissing.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from leafmill.operators.outline import fallback_outline, outline_tree, title_blo
 from leafmill.operators.pages import first_deliveries, select_pages
 from leafmill.operators.sections import merge_pages, spans
 from leafmill.operators.toc import toc_entries
-from leafmill.options import Options
+from leafmill.options import FeatureMissing, Options
 
 
 @dataclass(frozen=True)
@@ -23,8 +27,16 @@ class Converted:
     entries: DataFrame
 
 
+def _can_do(options: Options) -> None:
+    """Raises where a stage is asked for that the plan leaves out; tables and ocr in mode auto leave pages as they are."""
+    asked = [n for n, on in (("tables", options.tables != "auto"), ("ocr", options.ocr == "on"), ("captions", options.captions)) if on]
+    if asked:
+        raise FeatureMissing(f"the conversion plan leaves out what these options ask for: {', '.join(asked)}")
+
+
 def convert(documents: DataFrame, pages: DataFrame, outline: DataFrame, options: Options = Options(), blocks: DataFrame | None = None) -> Converted:  # noqa: B008 - frozen
     """Documents without an outline become one chapter, titled by their blocks if there are any, with a section per page."""
+    _can_do(options)
     nodes = outline.select("doc_id", "node_id", "parent_id", "sibling_ord", "title", "page")
     nodes = nodes.unionByName(fallback_outline(documents, outline, title_blocks(blocks) if blocks is not None else None))
     chosen = select_pages(first_deliveries(pages), list(options.pages) if options.pages is not None else None)

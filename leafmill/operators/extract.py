@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,20 @@ from leafmill.functions.html import escape, replace_each
 from leafmill.functions.ids import uuid_link
 from leafmill.functions.text import asset_name, dashed, image_extension, slug
 
+# What counts as a link, an image, a table, a placeholder, a link notation and an anchor in a page.
 _LINK = r'(?i)<a\s+[^>]*href="([^"]+)"'
+_EXTERNAL = ("http://", "https://", "mailto:")
 _EMBEDDED = r'src="data:image/[^;"]+;base64,[^"]+"'
 _EMBEDDED_PARTS = r'src="data:image/([^;"]+);base64,([^"]+)"'
-_REFERENCED = r'(?i)src="((?!data:|https?://|mailto:|assets/)[^"]+)"'
+_REFERENCED = r'(?i)src="(?!data:|https?://|mailto:|assets/)[^"]+"'
+_REFERENCED_PARTS = r'(?i)src="((?!data:|https?://|mailto:|assets/)[^"]+)"'
 _TABLE = r"(?is)<table.*?</table>"
+_PLACEHOLDER = r"(?i)<!--\s*structured\s+table\s+[0-9]{1,9}\s*-->"
+_PLACEHOLDER_PARTS = r"(?i)(<!--\s*structured\s+table\s+([0-9]{1,9})\s*-->)"
 _UUID = r"(?i)@UUID\[JournalEntry\.([A-Za-z0-9]+)\.JournalEntryPage\.([A-Za-z0-9]+)\]\{([\s\S]*?)\}"
+_ANCHOR = r"(?iU)<a\s+[^>]*href\s*=\s*['\"][^'\"]+['\"][^>]*>[\s\S]*?</a>"
+_ANCHOR_PARTS = r"(?iU)(<a\s+[^>]*href\s*=\s*['\"]([^'\"]+)['\"][^>]*>([\s\S]*?)</a>)"
+_IMAGE_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg")
 
 
 def _numbered(matches: Column) -> Column:
@@ -24,7 +34,7 @@ def _numbered(matches: Column) -> Column:
 def links(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """(keys, link_ord, kind, target) of each link in double quotes; external if it names http, https or mailto."""
     found = pages.where(F.col(html).contains("href")).select(*keys, _numbered(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1))))
-    external = F.col("found").startswith("http://") | F.col("found").startswith("https://") | F.col("found").startswith("mailto:")
+    external = reduce(Column.__or__, [F.col("found").startswith(p) for p in _EXTERNAL])
     return found.select(*keys, (F.col("at") + 1).alias("link_ord"), F.when(external, "external").otherwise("internal").alias("kind"), F.col("found").alias("target"))
 
 
@@ -51,7 +61,7 @@ def referenced_images(pages: DataFrame, files: DataFrame, keys: list[str], html:
 
     With `by_page` the name begins with the page, so that files of one name on several pages are kept apart.
     """
-    found = pages.where(F.col(html).contains('src="')).select(*keys, F.col(page).alias("__page"), _numbered(F.regexp_extract_all(html, F.lit(_REFERENCED), F.lit(1))))
+    found = pages.where(F.col(html).contains('src="')).select(*keys, F.col(page).alias("__page"), _numbered(F.regexp_extract_all(html, F.lit(_REFERENCED_PARTS), F.lit(1))))
     path = F.regexp_replace("found", "(?i)^file://", "")
     listed = files.select(F.regexp_replace("path", "(?i)^file:(//)?", "").alias("path")).distinct()
     base = F.element_at(F.split("path", "/"), -1)
@@ -91,14 +101,12 @@ def put_tables(html: Column, rendered: Column) -> Column:
 
 def fill_placeholders(html: Column, rendered: Column) -> Column:
     """`<!-- structured table N -->` replaced by the N-th of `rendered`; out of range it stays."""
-    pattern = r"(?i)<!--\s*structured\s+table\s+[0-9]{1,9}\s*-->"
-    group = r"(?i)(<!--\s*structured\s+table\s+([0-9]{1,9})\s*-->)"
 
     def by(parts: Column, _: Column) -> Column:
         n = parts[1].cast("int")
         return F.coalesce(F.when(n > 0, F.try_element_at(rendered, F.greatest(n, F.lit(1)))), parts[0])
 
-    return replace_each(html, pattern, group, by, 2)
+    return replace_each(html, _PLACEHOLDER, _PLACEHOLDER_PARTS, by, 2)
 
 
 def uuid_targets(df: DataFrame, keys: list[str], html: str) -> DataFrame:
@@ -117,22 +125,20 @@ def anchor_tokens(pages: DataFrame, keys: list[str], name: str, page_id: str, or
 
 def anchors_to_links(html: Column, entry: Column, anchors: Column) -> Column:
     """Anchors to `#token` as link notation where the token is known, else as their label; other links stay."""
-    tag = r"<a\s+[^>]*href\s*=\s*['\"][^'\"]+['\"][^>]*>[\s\S]*?</a>"
-    group = r"(?iU)(<a\s+[^>]*href\s*=\s*['\"]([^'\"]+)['\"][^>]*>([\s\S]*?)</a>)"
 
     def by(parts: Column, _: Column) -> Column:
         token = parts[1].substr(F.lit(2), F.length(parts[1]))
         page = F.coalesce(F.try_element_at(anchors, slug(token)), F.try_element_at(anchors, F.lower(token)))
         return F.when(~parts[1].startswith("#"), parts[0]).when(page.isNotNull(), uuid_link(entry, page, parts[2])).otherwise(parts[2])
 
-    return replace_each(html, rf"(?iU){tag}", group, by, 3)
+    return replace_each(html, _ANCHOR, _ANCHOR_PARTS, by, 3)
 
 
 def captions_to_alt(html: Column, captions: Column) -> Column:
     """Image tags with the caption of their file (a map by file name) as alt text, escaped; others stay."""
 
     def by(tag: Column, _: Column) -> Column:
-        name = F.regexp_extract(tag, r'(?i)src="(?:[^"]*/)?([^"/]+\.(?:png|jpg|jpeg|gif|svg))"', 1)
+        name = F.regexp_extract(tag, rf'(?i)src="(?:[^"]*/)?([^"/]+[.](?:{"|".join(_IMAGE_ENDINGS)}))"', 1)
         caption = F.try_element_at(captions, name)
         alt = F.concat(F.lit('alt="'), escape(caption), F.lit('"'))
         held = tag.rlike('alt="[^"]*"')

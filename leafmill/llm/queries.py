@@ -131,3 +131,9 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_texts(table(spark, sf_dir, "documents"), suspects=True).where("garbled").select("doc_id")
+
+
+@query("p8_repaired")
+def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, the garbled ones with their text restored as far as it can be."""
+    return mojibake.repair_texts(table(spark, sf_dir, "documents"))

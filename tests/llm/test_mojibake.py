@@ -38,6 +38,48 @@ def test_legacy_read_in_another(lang, real, taken):
     assert m.repair(wrong) == TEXTS[lang]
 
 
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("text", ["Le café été", "Größe", "сеть", "数据"])
+def test_any_number_of_layers(text, encoding):
+    wrong = text
+    for _ in range(11):
+        wrong = "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in wrong.encode())
+        assert m.repair(wrong) == text
+
+
+SHORT = {"ñåòü": "сеть", "УЕФШ": "сеть", "GrцЯe": "Größe", "ÈtÈ": "été", "ïîëå ñåòü": "поле сеть", "ëýóç": "λύση", "r‚sum‚, d‚j… et prot‚g‚": "résumé, déjà et protégé"}
+
+
+@pytest.mark.parametrize("wrong", SHORT)
+def test_short_texts(wrong):
+    assert m.repair(wrong) == SHORT[wrong]
+    assert m.repair(f"A long line of plain text.\nA café, then {wrong} in it.\n") == f"A long line of plain text.\nA café, then {SHORT[wrong]} in it.\n"
+
+
+def test_evidence_is_pooled_over_the_document():
+    good = [TEXTS["fr"], TEXTS["de"]]
+    words = "поле сеть метод и о что".split()
+    wrong = [w.encode("cp1251").decode("latin-1") for w in words]
+    assert m.repair("\n".join([good[0], *wrong, good[1]])) == "\n".join([good[0], *words, good[1]])
+
+
+FORMULAS = ["Δx αβ μm λi xΔφy Δt αk γn βm ηθ", "a±b c±d e±f x×y m÷n", "Раураl and ехатрlе of соре", "СССР ГОСТ УЕФА ЮНЕСКО ЩИТ", "çéàè àâ éè", "Việt Nam đồng", "iPhone®x don´t wait…what"]
+
+
+@pytest.mark.parametrize("text", FORMULAS)
+def test_odd_but_right_text_stays(text):
+    assert m.repair(text) == text
+
+
+def test_a_repair_never_turns_words_to_symbols():
+    for text in TEXTS.values():
+        for real in ("cp1251", "cp1253", "cp1252", "koi8_r", "mac_roman", "cp866"):
+            for taken in ("latin-1", "cp1251", "koi8_r", "mac_roman"):
+                wrong = text.encode(real, "ignore").decode(taken, "ignore")
+                letters = lambda t: sum(c.isalpha() for c in t)
+                assert letters(m.repair(wrong)) >= 0.8 * letters(wrong)
+
+
 def test_lost_bytes_and_cut_text():
     assert m.garbled("r�sum�", m.repair("r�sum�"))
     assert m.repair("cafÃ© â€œxâ€") .startswith("café “x")

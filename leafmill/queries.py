@@ -37,7 +37,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-_P1 = """
+_KEY = "replace(regexp_replace(substr(F, 2), '\\[(\\d+)\\]', '.\\1', 'g'), '.', '/')"
+_NESTED = f"""
 with p as (select raw_id, case when json_valid(payload) then
              case when json_type(payload) = 'VARCHAR' then json_extract_string(payload, '$') else payload end end as j
            from structured_tables),
@@ -45,29 +46,76 @@ q as (select raw_id, j from p where json_valid(j)),
 n as (select q.raw_id, t.fullkey, t.type, t.value from q, json_tree(q.j::json) t),
 tab as (select raw_id, fullkey, value, coalesce(json_extract_string(value, '$.id'), '') as id from n
         where type = 'OBJECT' and json_exists(value, '$.id') and json_exists(value, '$.rows')),
-parent as (select a.raw_id, a.fullkey, arg_max(b.id, length(b.fullkey)) as id from tab a join tab b
+parent as (select a.raw_id, a.fullkey, arg_max(b.id, length(b.fullkey)) as id, arg_max(b.fullkey, length(b.fullkey)) as pkey from tab a join tab b
            on a.raw_id = b.raw_id and (starts_with(a.fullkey, b.fullkey || '.') or starts_with(a.fullkey, b.fullkey || '['))
            group by 1, 2),
-own as (select tab.raw_id, coalesce(parent.id, '') as parent_table_id, tab.id as table_id, tab.value from tab
-        left join parent using (raw_id, fullkey)),
-r as (select raw_id, parent_table_id, table_id, generate_subscripts(l, 1) as pos1, unnest(l) as row from
+own as (select tab.raw_id, {_KEY.replace("F", "tab.fullkey")} as table_key, {_KEY.replace("F", "parent.pkey")} as parent_key, coalesce(parent.id, '') as parent_table_id, tab.id as table_id, tab.value
+        from tab left join parent using (raw_id, fullkey)),
+r as (select raw_id, table_key, parent_table_id, table_id, generate_subscripts(l, 1)::int as row_pos, unnest(l) as row from
       (select *, json_extract(value, '$.rows[*]') as l from own)),
-c as (select raw_id, parent_table_id, table_id, pos1, generate_subscripts(l, 1) as pos2, unnest(l) as cell from
-      (select *, case when json_type(row) = 'ARRAY' then json_extract(row, '$[*]') else json_extract(row, '$.cells[*]') end as l from r)),
-m as (select raw_id, parent_table_id, table_id, generate_subscripts(l, 1) as pos1, unnest(l) as note from
+c0 as (select *, case when json_type(row) = 'ARRAY' then json_extract(row, '$[*]') else json_extract(row, '$.cells[*]') end as l from r),
+c as (select * from (select raw_id, table_key, parent_table_id, table_id, row_pos, generate_subscripts(l, 1)::int as cell_pos, unnest(l) as cell from c0) where json_type(cell) <> 'NULL'),
+m as (select raw_id, table_key, parent_table_id, table_id, generate_subscripts(l, 1)::int as note_pos, unnest(l) as note from
       (select *, json_extract(value, '$.meta.notes[*]') as l from own))
-select raw_id, parent_table_id, table_id, 'cell' as item, pos1::int as pos1, pos2::int as pos2 from c where json_type(cell) <> 'NULL'
-union all
-select raw_id, parent_table_id, table_id, 'note', pos1::int, 0 from m
 """
 
 
-@query("p1_found", _P1)
+def _at(path: str, kind: str, of: str) -> str:
+    return f"try_cast(json_extract_string({of}, '{path}') as {kind})"
+
+
+def _list_sql(name: str, source: str, keys: str, of: str, path: str, place: str) -> str:
+    return f", {name} as (select {keys}, generate_subscripts(l, 1)::int as {place}, unnest(l) as x from (select *, json_extract({of}, '{path}[*]') as l from {source}))"
+
+
+_BOX = ", ".join(f"coalesce({_at('$.' + n, 'double', 'b')}, {_at(f'$[{i}]', 'double', 'b')}) as {n}" for i, n in enumerate("xywh"))
+_INSIDE = "substr(table_key, length(parent_key) + 1), '^/rows/(\\d+)(?:/cells)?/(\\d+)/'"
+_MARK = _list_sql("k", "c", "raw_id, table_key, row_pos, cell_pos", "cell", "$.marks", "mark_pos")
+_NESTED_SQL = {
+    "tables": f"""select raw_id, table_key, parent_key, table_id, parent_table_id, try_cast(regexp_extract({_INSIDE}, 1) as int) + 1 as parent_row_pos, try_cast(regexp_extract({_INSIDE}, 2) as int) + 1 as parent_cell_pos,
+        {_at("$.caption", "varchar", "value")} as caption, case when json_type(value, '$.rows') = 'ARRAY' then json_array_length(value, '$.rows') else 0 end::int as n_rows,
+        {_at("$.meta.source_page", "int", "value")} as source_page, {_at("$.meta.confidence", "double", "value")} as confidence,
+        case when json_type(value, '$.meta.detector') = 'OBJECT' then {_at("$.meta.detector.name", "varchar", "value")} else {_at("$.meta.detector", "varchar", "value")} end as detector,
+        {_at("$.meta.detector.version.major", "int", "value")} as detector_major, {_at("$.meta.detector.version.minor", "int", "value")} as detector_minor,
+        {_at("$.meta.continued_from.id", "varchar", "value")} as continued_from_id, {_at("$.meta.continued_from.page", "int", "value")} as continued_from_page from own""",
+    "rows": f"select raw_id, table_key, table_id, parent_table_id, row_pos, len(l)::int as n_cells, {_at('$.height', 'double', 'row')} as height from c0",
+    "cells": f"""select raw_id, table_key, table_id, parent_table_id, row_pos, cell_pos, {_at("$.text", "varchar", "cell")} as text, {_at("$.row_span", "int", "cell")} as row_span,
+        {_at("$.col_span", "int", "cell")} as col_span, {_at("$.is_header", "boolean", "cell")} as is_header from c""",
+    "boxes": f"""select * from (select raw_id, table_key, row_pos, cell_pos, {_BOX} from (select raw_id, table_key, row_pos, cell_pos, json_extract(cell, '$.bbox') as b from c
+        union all select raw_id, table_key, 0, 0, json_extract(value, '$.bbox') from own)) where coalesce(x, y, w, h) is not null""",
+    "notes": f"select raw_id, table_key, table_id, parent_table_id, note_pos, {_at('$.code', 'varchar', 'note')} as code from m",
+    "note_cells": _list_sql("k", "m", "raw_id, table_key, note_pos", "note", "$.cells", "ref_pos") + f" select raw_id, table_key, note_pos, ref_pos, {_at('$[0]', 'int', 'x')} as row_no, {_at('$[1]', 'int', 'x')} as col_no from k",
+    "marks": _MARK + f" select raw_id, table_key, row_pos, cell_pos, mark_pos, {_at('$.kind', 'varchar', 'x')} as kind from k",
+    "mark_refs": _MARK + _list_sql("f", "k", "raw_id, table_key, row_pos, cell_pos, mark_pos", "x", "$.refs", "ref_pos") + f" select raw_id, table_key, row_pos, cell_pos, mark_pos, ref_pos, {_at('$.n', 'int', 'x')} as n from f",
+    "content": _list_sql("k", "c", "raw_id, table_key, row_pos, cell_pos", "cell", "$.content", "part_pos") + f" select raw_id, table_key, row_pos, cell_pos, part_pos, {_at('$.kind', 'varchar', 'x')} as kind, {_at('$.value', 'varchar', 'x')} as value from k",
+    "unparsed": "select raw_id from p where j is null or not json_valid(j)",
+}
+
+
+@query(
+    "p1_found",
+    _NESTED + """
+    select raw_id, parent_table_id, table_id, 'cell' as item, row_pos as pos1, cell_pos as pos2 from c
+    union all
+    select raw_id, parent_table_id, table_id, 'note', note_pos, 0 from m""",
+)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = flatten_tables(table(spark, sf_dir, "structured_tables"), "items")
     return items.select("raw_id", "parent_table_id", "table_id", "item", "pos1", "pos2")
 
 
+def _register_target(target: str, sql: str) -> None:
+    """p1_<target>: one of the flat tables that the payloads come apart into."""
+
+    @query(f"p1_{target}", _NESTED + sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flatten_tables(table(spark, sf_dir, "structured_tables"), target).drop("reason")
+
+
+for _target, _sql in _NESTED_SQL.items():
+    _register_target(_target, _sql)
+
+
 # Functions on characters and words
 
 _SP = "chr(160)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8239)||chr(8287)"

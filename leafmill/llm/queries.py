@@ -55,34 +55,59 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The SQL of problem 3 has look-alikes of its own: what the titles and cells hold, written out.
+_CYRILLIC = ("АВЕЅІЈКМНОРСТУХѕаеһіјорсухԁ", "ABESIJKMHOPCTYXsaehijopcyxd")
+_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιυαργνάίόύ", "ABEZHIKMNOPTYXoiuapyváíóú")
+_BLANKS = [9, 10, 11, 12, 13, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+_UNSEEN = [173, 847, 1564, *range(6155, 6159), *range(8203, 8208), *range(8234, 8239), *range(8288, 8293), *range(8294, 8298), *range(65024, 65040), 65279]
+_WIDE = range(65281, 65375)
+
+
 def _form_sql(x: str) -> str:
-    """The look-alike-mapped form in SQL; composition stands in for the collation."""
-    chars, plain, several = confusables._maps()
+    """The look-alike-mapped form; composition stands in for the collation."""
+    chars = "".join(map(chr, _WIDE)) + _CYRILLIC[0] + _GREEK[0] + "ɡ‐‑﹣" + "".join(map(chr, _BLANKS))
+    plain = "".join(chr(c - 65248) for c in _WIDE) + _CYRILLIC[1] + _GREEK[1] + "g---" + " " * len(_BLANKS)
     quoted = [t.replace("'", "''") for t in (chars, plain)]
-    out = f"translate({x}, '{quoted[0]}', '{quoted[1]}')"
-    for char, letters in several.items():
+    out = f"translate(nfc_normalize(translate({x}, '{''.join(map(chr, _UNSEEN))}', '')), '{quoted[0]}', '{quoted[1]}')"
+    for char, letters in zip("ﬀﬁﬂﬃﬄ", ("ff", "fi", "fl", "ffi", "ffl")):
         out = f"replace({out}, '{char}', '{letters}')"
     return f"trim(nfc_normalize({out}), ' ')"
 
 
 _DECIMAL = "list_reduce(list_prepend(h, list_distinct(regexp_extract_all(h, '&#[0-9]+;'))), lambda a, e: replace(a, e, chr(regexp_extract(e, '[0-9]+')::int)))"
 _HEX = "list_reduce(list_prepend(h, list_distinct(regexp_extract_all(h, '&#x[0-9A-Fa-f]+;'))), lambda a, e: replace(a, e, chr(('0x' || e[4:-2])::int)))"
-_P3 = f"""
+_TITLES = f"""
 with h0 as (select row_id, unnest(regexp_extract_all(html, '(?is)<h2[^>]*>(.*?)</h2>', 1) || regexp_extract_all(html, '(?is)<h3[^>]*>(.*?)</h3>', 1) || regexp_extract_all(html, '(?is)<h4[^>]*>(.*?)</h4>', 1)) as h from pages),
 h1 as (select row_id, replace(regexp_replace(h, '</?[A-Za-z][^<>]*>', '', 'g'), '&nbsp;', chr(160)) as h from h0), h2 as (select row_id, {_DECIMAL} as h from h1), h3 as (select row_id, {_HEX} as h from h2),
 t as (select 'pages' as tbl, row_id, replace(h, '&amp;', '&') as text from h3 union all select 'outline', row_id, title from outline union all select 'table_cells', row_id, text from table_cells)
-select distinct tbl, row_id, ref_id from t join ref_titles on {_form_sql('text')} = {_form_sql('label')} and text <> label
 """
 
 
-@query("p3_found", _P3)
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = (
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_id, text) of headings, outline titles and cells."""
+    return (
         confusables.headings(table(spark, sf_dir, "pages")).select(F.lit("pages").alias("tbl"), "row_id", "text")
         .unionByName(table(spark, sf_dir, "outline").select(F.lit("outline").alias("tbl"), "row_id", F.col("title").alias("text")))
         .unionByName(table(spark, sf_dir, "table_cells").select(F.lit("table_cells").alias("tbl"), "row_id", "text"))
     )
-    return confusables.look_like_labels(texts, table(spark, sf_dir, "ref_titles"))
+
+
+@query("p3_found", _TITLES + f"select distinct tbl, row_id, ref_id from t join ref_titles on {_form_sql('text')} = {_form_sql('label')} and text <> label")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.look_like_labels(titles(spark, sf_dir), table(spark, sf_dir, "ref_titles"))
+
+
+@query(
+    "p3_unified",
+    _TITLES + f""", n as (select text, {_form_sql("text")} as look, 1 as rank, count(*) as n from t where text is not null group by 1
+        union all select distinct label, {_form_sql("label")}, 0, 0 from ref_titles where label is not null),
+    best as (select look, text as canonical from n qualify row_number() over (partition by look order by rank, n.n desc, text) = 1)
+    select tbl, row_id, md5(text) as text_hash, md5(canonical) as canonical_hash from t join n using (text) join best using (look) where rank = 1""",
+)
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and cell with the one string that stands for all that look like it."""
+    both = confusables.unified(titles(spark, sf_dir), table(spark, sf_dir, "ref_titles"))
+    return both.select("tbl", "row_id", F.md5("text").alias("text_hash"), F.md5("canonical").alias("canonical_hash"))
 
 
 _P4 = """

@@ -33,3 +33,16 @@ def test_canonical_member(spark):
 def test_headings(spark):
     pages = spark.createDataFrame([(1, "<h2>A <b>b</b>&#8209;c</h2>x<h3 class='q'>d\ne</h3><h1>no</h1><h4>f"), (2, None), (3, "")], "row_id bigint, html string")
     assert [tuple(r) for r in c.headings(pages).collect()] == [(1, "A b‑c"), (1, "d\ne")]
+
+
+def test_look_alikes_by_rule(spark):
+    latin = c._look_alikes()
+    assert {a: latin[a] for a in "\u0410\u0391\u13aa\u0406\u0456\u04c0\u043e\u03bf\u0585\u0261\u2c9f\u15c5"} == dict(zip("\u0410\u0391\u13aa\u0406\u0456\u04c0\u043e\u03bf\u0585\u0261\u2c9f\u15c5", "AAAIiIooogoA"))
+    assert not {"\u00e9", "\u00f8", "\u044f", "\u0431", "\u4e00", "\u00df"} & set(latin) and len(latin) > 400
+    forms = spark.createDataFrame([("\u15c5\u15f7\u2ca5",), ("\u1d00\u0299",), ("\u0416\u044f",), (None,)], "t string").select(c.form(F.col("t")).alias("f"))
+    assert [r.f for r in forms.collect()][:3] == ["ABc", "\u1d00\u0299", "\u0416\u044f"]
+
+
+def test_unified(spark):
+    got = c.unified(texts(spark, ["\u0410b", "Ab", "Ab", None, "\uff21b"]), spark.createDataFrame([], "ref_id bigint, label string")).collect()
+    assert sorted((r.row_id, r.canonical) for r in got) == [(0, "Ab"), (1, "Ab"), (2, "Ab"), (4, "Ab")]

@@ -3,15 +3,18 @@
 Two lines are the same if their visible text (no tags, entities decoded) has the same letters in the same order,
 whatever the case, digits, white space and other characters. A line is stood for by two 64-bit hashes of its letters.
 
-1. Pages give the distinct (document, line) pairs; they are written once to the shared checkpoint folder.
+1. Lines of pages become pairs of hashes, written once to the shared checkpoint folder with the row and place they
+   stand at; everything after reads these, so a text is looked at once.
 2. Documents with the same set of lines are one cluster: a document's set is folded to a signature (counts and XORs,
-   which combine before the shuffle), and of each cluster only one member's lines go on, with the cluster's size.
+   which combine before the shuffle), and of each cluster only one member's lines go on, with the cluster's size. A
+   page delivered again, or longer, is a page of the same document and makes no other cluster.
 3. Each line is counted per source over clusters, documents and publication dates, again with partial aggregation, so
    a line that stands in every document of the largest source is added up where it is read.
 4. Lines of pages and sections are matched with the few repeated ones: by broadcast if they are fewer than
    `broadcast_rows`, which is counted first, else by a shuffled join.
 
-Texts are read whole and never shuffled. Defined results: null and empty html has no lines; a line with fewer than
+Texts are read whole; finding does not shuffle them, and removing only if the lines to remove are too many to be
+broadcast, which is counted. Defined results: null and empty html has no lines; a line with fewer than
 `min_letters` letters is never repeated; documents missing from the document table have no source and no repeated
 lines; repeated rows count once, and are each given their lines; an empty table gives no rows. Source and key columns
 are picked by name, others are pruned.
@@ -26,6 +29,8 @@ from leafmill.functions.html import visible_text
 from leafmill.llm.state import materialized
 
 MIN_LETTERS, MIN_DOCUMENTS, MIN_SHARE = 12, 3, 0.1
+#: Up to so many rows (of a hash or two, or some line numbers) are broadcast.
+BROADCAST = 500_000
 
 
 def letters(line: Column) -> Column:
@@ -43,16 +48,17 @@ def lines(df: DataFrame, keys: list[str], html: str = "html", min_letters: int =
 
 
 def repeated_lines(
-    pages: DataFrame, documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE,
+    lines_: DataFrame, documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE,
     min_clusters: int = 1, min_dates: int = 1,
 ) -> DataFrame:
     """(source, h1, h2, documents, clusters, dates) of the lines repeated within a source; written once.
 
-    `pages` has (doc_id, html), `documents` (doc_id, source, received_at). A line needs `min_documents` documents and
-    `min_share` of the source's; `min_clusters` and `min_dates` let a caller ask for as many clusters of copies and
-    days of publication too, so that an article republished under many ids does not make its lines boilerplate.
+    `lines_` has (doc_id, h1, h2) as `lines` gives them, `documents` (doc_id, source, received_at). A line needs
+    `min_documents` documents and `min_share` of the source's; `min_clusters` and `min_dates` let a caller ask for as
+    many clusters of copies and days of publication too, so that an article republished under many ids does not make
+    its lines boilerplate.
     """
-    pairs = materialized(lines(pages, ["doc_id"]).select("doc_id", "h1", "h2").distinct())
+    pairs = lines_.select("doc_id", "h1", "h2").distinct()
     signature = pairs.groupBy("doc_id").agg(F.count("*").alias("n"), F.expr("bit_xor(h1)").alias("x1"), F.expr("bit_xor(h2)").alias("x2"))
     published = documents.groupBy("doc_id").agg(F.min("source").alias("source"), F.min(F.to_date("received_at")).alias("date")).where("source is not null")
     clusters = (
@@ -71,21 +77,24 @@ def repeated_lines(
     return materialized(counted.join(sizes, "source").where(f"documents >= of * {min_share}D").drop("of"))
 
 
-def find_lines(df: DataFrame, documents: DataFrame, repeated: DataFrame, key: str, broadcast_rows: int = 500_000) -> DataFrame:
-    """(key, line_no) of the lines of `df` (key, doc_id, html) that are repeated lines of their document's source."""
+def find_lines(lines_: DataFrame, documents: DataFrame, repeated: DataFrame, key: str, broadcast_rows: int = BROADCAST) -> DataFrame:
+    """(key, line_no) of the lines (key, doc_id, line_no, h1, h2) that are repeated lines of their document's source."""
     few = repeated.count() <= broadcast_rows
 
     def side(x: DataFrame) -> DataFrame:
         return F.broadcast(x) if few else x
 
     known = repeated.select("source", "h1", "h2")
-    candidates = lines(df, [key, "doc_id"]).join(side(known.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi")
+    candidates = lines_.join(side(known.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi")
     sources = documents.groupBy("doc_id").agg(F.min("source").alias("source"))
     return candidates.join(sources, "doc_id").join(side(known), ["source", "h1", "h2"], "left_semi").select(key, "line_no")
 
 
-def remove_lines(df: DataFrame, found: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """`df` with the found lines (key, line_no) taken out of `html`; rows without any stay as they are."""
-    drop = found.groupBy(key).agg(F.collect_set("line_no").alias("__lines"))
+def remove_lines(df: DataFrame, found: DataFrame, key: str, html: str = "html", broadcast_rows: int = BROADCAST) -> DataFrame:
+    """`df` with the found lines (key, line_no) taken out of `html`; rows without any stay as they are. The lines are
+    put together per row first; only the rows that have some and the rows of `df` meet."""
+    drop = materialized(found.groupBy(F.col(key).alias("__key")).agg(F.collect_set("line_no").alias("__lines")))
+    side = F.broadcast(drop) if drop.count() <= broadcast_rows else drop
     kept = F.array_join(F.filter(F.split(F.col(f"`{html}`"), "\n", -1), lambda x, i: ~F.array_contains("__lines", i + 1)), "\n")
-    return df.join(drop, key, "left").withColumn(html, F.when(F.col("__lines").isNull(), F.col(f"`{html}`")).otherwise(kept)).drop("__lines")
+    joined = df.join(side, F.col(f"`{key}`") == F.col("__key"), "left")
+    return joined.withColumn(html, F.when(F.col("__lines").isNull(), F.col(f"`{html}`")).otherwise(kept)).drop("__key", "__lines")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import boilerplate, bpe, confusables, mojibake, packing, scanfix, splitting
+from leafmill.llm.state import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,22 +40,42 @@ with l as (select 'pages' as tbl, row_id, doc_id, unnest(string_split(html, chr(
     union all select 'sections', section_id, doc_id, unnest(string_split(html, chr(10))), generate_subscripts(string_split(html, chr(10)), 1)::int from sections),
 k as (select tbl, row_id, line_no, source, doc_id, {_LETTERS} as letters from l join (select doc_id, min(source) as source from parsed_documents group by 1) d using (doc_id)),
 c as (select source, count(distinct doc_id) as n from parsed_documents group by 1),
-r as (select source, letters from k join c using (source) where tbl = 'pages' and length(letters) >= 12 group by source, letters, n having count(distinct doc_id) >= 3 and count(distinct doc_id) >= 0.1 * n)
-select tbl, row_id, line_no from k join r using (source, letters)
+r as (select source, letters from k join c using (source) where tbl = 'pages' and length(letters) >= 12 group by source, letters, n having count(distinct doc_id) >= 3 and count(distinct doc_id) >= 0.1 * n),
+f as (select tbl, row_id, line_no from k join r using (source, letters))
 """
 
 
-@query("p2_found", _P2)
+def repeated_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(row_id, line_no) of the repeated lines in pages, and (section_id, line_no) of those in sections."""
+    pages, sections, documents = (table(spark, sf_dir, n) for n in ("pages", "sections", "parsed_documents"))
+    page_lines = materialized(boilerplate.lines(pages, ["row_id", "doc_id"]))
+    repeated = boilerplate.repeated_lines(page_lines, documents)
+    in_sections = boilerplate.find_lines(boilerplate.lines(sections, ["section_id", "doc_id"]), documents, repeated, "section_id")
+    return boilerplate.find_lines(page_lines, documents, repeated, "row_id"), in_sections
+
+
+@query("p2_found", _P2 + "select tbl, row_id, line_no from f")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, documents = table(spark, sf_dir, "pages"), table(spark, sf_dir, "parsed_documents")
-    repeated = boilerplate.repeated_lines(pages, documents)
-    in_pages = boilerplate.find_lines(pages, documents, repeated, "row_id")
-    in_sections = boilerplate.find_lines(table(spark, sf_dir, "sections"), documents, repeated, "section_id")
+    in_pages, in_sections = repeated_in(spark, sf_dir)
     return in_pages.select(F.lit("pages").alias("tbl"), "row_id", "line_no").unionAll(
         in_sections.select(F.lit("sections").alias("tbl"), F.col("section_id").alias("row_id"), "line_no")
     )
 
 
+@query(
+    "p2_cleaned",
+    _P2 + """, g as (select tbl, row_id, list(line_no) as gone from f group by 1, 2), h as (select 'pages' as tbl, row_id, html from pages union all select 'sections', section_id, html from sections)
+    select tbl, row_id, case when gone is null then html else array_to_string(list_filter(string_split(html, chr(10)), lambda x, i: not list_contains(gone, i)), chr(10)) end as html
+    from h left join g using (tbl, row_id)""",
+)
+def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The html of all pages and sections without the lines repeated within their source."""
+    in_pages, in_sections = repeated_in(spark, sf_dir)
+    pages = boilerplate.remove_lines(table(spark, sf_dir, "pages").select("row_id", "html"), in_pages, "row_id")
+    sections = boilerplate.remove_lines(table(spark, sf_dir, "sections").select("section_id", "html"), in_sections, "section_id")
+    return pages.select(F.lit("pages").alias("tbl"), "row_id", "html").unionAll(sections.select(F.lit("sections"), "section_id", "html"))
+
+
 # The SQL of problem 3 has look-alikes of its own: what the titles and cells hold, written out.
 _CYRILLIC = ("АВЕЅІЈКМНОРСТУХѕаеһіјорсухԁ", "ABESIJKMHOPCTYXsaehijopcyxd")
 _GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιυαργνάίόύ", "ABEZHIKMNOPTYXoiuapyváíóú")
@@ -130,6 +151,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized_pieces(spark, sf_dir).where("piece_no = 2").select("tbl", "item_key").distinct()
 
 
+@query("p4_pieces")
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized_pieces(spark, sf_dir)
+
+
+@query(
+    "p4_reassembled",
+    """select tbl, item_key, md5(content) as h, length(content)::bigint as chars, true as within, true as repeats from (
+    select 'sections' as tbl, section_id::varchar as item_key, html as content from sections union select 'entries', p.page_id, p.content from (select unnest(pages) as p from entries)) where length(content) > 8000""",
+)
+def p4_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of an item say of themselves: joined without their overlaps they are the item, none is above the
+    limit, and each repeats up to 200 characters of the one before."""
+    pieces = oversized_pieces(spark, sf_dir).distinct().withColumn("own", F.expr("substr(piece, body_start - start + 1)"))
+    again = F.col("body_start") - F.col("start")
+    # an item exported with another text under one key has pieces of its own: told apart by where its last one ends
+    return pieces.withColumn("chars", F.max("end").over(Window.partitionBy("tbl", "item_key"))).groupBy("tbl", "item_key", "chars").agg(
+        F.md5(F.expr("listagg(own, '') within group (order by piece_no)")).alias("h"),
+        F.every((F.length("piece") <= splitting.LIMIT) & (F.length("piece") == F.col("end") - F.col("start"))).alias("within"),
+        F.every((F.col("piece_no") == 1) | again.between(1, splitting.OVERLAP)).alias("repeats"),
+    ).select("tbl", "item_key", "h", F.col("chars").cast("long").alias("chars"), "within", "repeats")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, cells, titles, words = (table(spark, sf_dir, n) for n in ("pages", "table_cells", "parsed_documents", "lexicon"))

@@ -8,7 +8,8 @@ unless one alone exceeds the limit.
 
 Pieces are slices of the text: `start` to `end`, of which `start` to `body_start` repeats the piece before (about
 `overlap` characters, from the next word on), so the bodies joined in order are the text. Texts up to the limit are
-filtered out in the scan and never reach Python; the rest runs in Arrow batches without a shuffle.
+filtered out in the scan and never reach Python; the rest runs in Arrow batches without a shuffle. What is repeated
+begins within a tag only where a tag longer than the overlap is all that stands before.
 
 Defined results: null, empty and short texts give no pieces; positions count characters (code points) from 0;
 repeated rows give their pieces each time. `overlap` must be below half the limit.
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 8_000, 200
 
-# Elements that stand as blocks; nesting of these counts down to _DEEPEST.
+# Elements that stand as blocks.
 _BLOCKS = frozenset("address article aside blockquote body caption dd div dl dt figure footer form head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-_DEEPEST = 24
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>|&[A-Za-z0-9#]{1,32};|\n[^\S\n]*\n\s*|^#{1,6} ", re.M)
 _LINE, _SENTENCE, _WORD = (re.compile(p) for p in (r"\n", r"[.!?…。！？][\"'”’»)\]]*\s*(?=\s|[^\s.!?…。！？\"'”’»)\]])", r"\s+"))
-_BLANK, _FINE = 7, 8 + _DEEPEST
+#: Levels: headings 1 to 6, blank lines, blocks by how deep they nest, and behind all of these the ends of headings.
+_BLANK, _BLOCK, _FINE = 7, 8, 1 << 40
 
 
 def _outline(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -50,15 +51,15 @@ def _outline(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         name = (m[2] or "").lower()
         if len(name) == 2 and name[0] == "h" and name[1] in "123456":
             if m[1]:
-                cuts.append((m.end(), _FINE - 1))
+                cuts.append((m.end(), _FINE))
             else:
                 cuts.append((m.start(), int(name[1])))
         elif name in _BLOCKS:
             if m[1]:
                 depth = max(0, depth - 1)
-                cuts.append((m.end(), 8 + min(depth, _DEEPEST - 2)))
+                cuts.append((m.end(), _BLOCK + depth))
             else:
-                cuts.append((m.start(), 8 + min(depth, _DEEPEST - 2)))
+                cuts.append((m.start(), _BLOCK + depth))
                 depth += name != "hr"
     return cuts, whole
 
@@ -95,37 +96,63 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         edges = [a, *(p for p in dict.fromkeys(at) if a < p < b), b]
         return list(zip(edges, edges[1:]))
 
-    def pack(a: int, b: int, step: int) -> list[tuple[int, int]]:
-        """Parts of a node within the room; step: the next level of structure, then lines, sentences, words."""
-        if b - a <= room:
-            return [(a, b)]
-        if step < len(levels):
+    def divide(a: int, b: int, step: int) -> tuple[int, list[int]]:
+        """The next step at which a node can be divided, and where: levels of structure, then lines, sentences, words."""
+        while step < len(levels):
             at = by_level[levels[step]]
             at = at[bisect_right(at, a) : bisect_left(at, b)]
-        elif step < len(levels) + 3:
-            finer = (_LINE, _SENTENCE, _WORD)[step - len(levels)]
-            at = [m.end() for m in finer.finditer(text, a, b) if free(m.end())]
-        else:
-            at, p = [], a
-            while b - p > room:
-                q = p + room
-                i = bisect_right(begins, q) - 1
-                if i >= 0 and whole[i][0] < q < whole[i][1] and whole[i][0] > p:
-                    q = whole[i][0]
-                at.append(q)
-                p = q
-            return between(a, b, at)
-        if not at:
-            return pack(a, b, step + 1)
-        return merged([part for x, y in between(a, b, at) for part in pack(x, y, step + 1)])
+            if at:
+                return step, at
+            step += 1
+        while step < len(levels) + 3:
+            at = [m.end() for m in (_LINE, _SENTENCE, _WORD)[step - len(levels)].finditer(text, a, b) if a < m.end() < b and free(m.end())]
+            if at:
+                return step, at
+            step += 1
+        return step, []
+
+    def anywhere(a: int, b: int) -> list[int]:
+        at, p = [], a
+        while b - p > room:
+            q = p + room
+            i = bisect_right(begins, q) - 1
+            if i >= 0 and whole[i][0] < q < whole[i][1] and whole[i][0] > p:
+                q = whole[i][0]
+            at.append(q)
+            p = q
+        return at
+
+    def pack() -> list[tuple[int, int]]:
+        """The parts of the text within the room. A stack of its own, as markup may nest deeper than calls can."""
+        done: list[list[tuple[int, int]]] = [[]]
+        todo: list[tuple[int, int, int] | None] = [(0, len(text), 0)]
+        while todo:
+            node = todo.pop()
+            if node is None:  # all below a node is done
+                parts = done.pop()
+                done[-1] += merged(parts)
+                continue
+            a, b, step = node
+            if b - a <= room:
+                done[-1].append((a, b))
+                continue
+            step, at = divide(a, b, step)
+            if not at:
+                done[-1] += between(a, b, anywhere(a, b))
+                continue
+            done.append([])
+            todo.append(None)
+            todo += [(x, y, step + 1) for x, y in reversed(between(a, b, at))]
+        return done[0]
 
     pieces = []
-    for a, b in pack(0, len(text), 0):
+    for a, b in pack():
         start = a
         if a and overlap:
             start = next((m.end() for m in _WORD.finditer(text, max(0, a - overlap), a) if m.end() < a and free(m.end())), max(0, a - overlap))
-            if not free(start):  # inside a tag: from behind it
-                start = min(a, whole[bisect_right(begins, start) - 1][1])
+            if not free(start) and free(a):  # inside a tag: from behind it, unless only the tag is there to repeat
+                behind = whole[bisect_right(begins, start) - 1][1]
+                start = behind if behind < a else start
         pieces.append((start, a, b))
     return pieces
 

@@ -40,14 +40,16 @@ def test_against_brute_force(spark):
     rows.append((999, "d5", "x" * 50_000 + "\n" + NOTICE[0]))
     rows.append(rows[-1])
     pages, parsed = frames(spark, rows, docs)
-    repeated = b.repeated_lines(pages, parsed)
+    own = b.lines(pages, ["row_id", "doc_id"])
+    repeated = b.repeated_lines(own, parsed)
     want = brute(rows, docs)
     for limit in (500_000, 0):
-        got = b.find_lines(pages, parsed, repeated, "row_id", broadcast_rows=limit)
+        got = b.find_lines(own, parsed, repeated, "row_id", broadcast_rows=limit)
         assert Counter((r.row_id, r.line_no) for r in got.collect()) == want
-    clean = {r.row_id: r.html for r in b.remove_lines(pages, got, "row_id").collect()}
-    for r, _, h in rows:
-        assert clean[r] == (h and "\n".join(x for n, x in enumerate(h.split("\n"), 1) if (r, n) not in want))
+    for limit in (500_000, 0):
+        clean = {r.row_id: r.html for r in b.remove_lines(pages, got, "row_id", broadcast_rows=limit).collect()}
+        for r, _, h in rows:
+            assert clean[r] == (h and "\n".join(x for n, x in enumerate(h.split("\n"), 1) if (r, n) not in want))
 
 
 def test_republished_documents_are_one_cluster(spark):
@@ -55,11 +57,14 @@ def test_republished_documents_are_one_cluster(spark):
     rows = [(i, f"d{i}", page) for i in range(5)] + [(9, "d9", "quite another line of the text")]
     docs = [(f"d{i}", "s", None) for i in range(10)]
     pages, parsed = frames(spark, rows, docs)
-    got = b.repeated_lines(pages, parsed).collect()
+    own = b.lines(pages, ["row_id", "doc_id"])
+    got = b.repeated_lines(own, parsed).collect()
     assert len(got) == 2 and all((r.documents, r.clusters) == (5, 1) for r in got)
-    assert b.repeated_lines(pages, parsed, min_clusters=2).count() == 0
+    assert b.repeated_lines(own, parsed, min_clusters=2).count() == 0
 
 
 def test_empty(spark):
     pages, parsed = frames(spark, [], [])
-    assert b.find_lines(pages, parsed, b.repeated_lines(pages, parsed), "row_id").collect() == []
+    own = b.lines(pages, ["row_id", "doc_id"])
+    found = b.find_lines(own, parsed, b.repeated_lines(own, parsed), "row_id")
+    assert found.collect() == [] and b.remove_lines(pages, found, "row_id").collect() == []

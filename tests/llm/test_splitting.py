@@ -10,6 +10,7 @@ def check(text, limit, overlap):
     assert "".join(text[b:e] for _, b, e in pieces) == text
     for start, body, end in pieces:
         assert 0 <= start <= body <= end and end - start <= limit and body - start <= overlap
+        assert body == 0 or overlap == 0 or start < body
     assert len(pieces) > 1 or len(text) <= limit
     return pieces
 
@@ -22,7 +23,7 @@ def test_random_markup():
         check("".join(rng.choices(bits, k=rng.randint(1, 800))), limit, rng.choice((0, limit // 5)))
 
 
-@pytest.mark.parametrize("text", ["x" * 9000, "word " * 5000, "<div>" * 4000, "<a href='" + "z" * 5000 + "'>x</a>", " " * 5000, "文。" * 3000])
+@pytest.mark.parametrize("text", ["x" * 9000, "word " * 5000, "<div>" * 4000, "<div>x " * 4000, "<ul><li>a b. " * 5000 + "</li></ul>" * 5000, "<a href='" + "z" * 5000 + "'>x</a>", " " * 5000, "文。" * 3000])
 def test_extremes(text):
     check(text, 1000, 100)
 
@@ -37,6 +38,16 @@ def test_cuts_at_the_highest_structure():
     assert all(prose[b - 2 : b] == ". " for _, b, _ in check(prose, 500, 50)[1:])
 
 
+def test_levels_count_however_deep_they_are():
+    for depth in (5, 60, 700):
+        text = "<div>" * depth + "".join(f"<p>{'item word ' * 8}</p>" for _ in range(60)) + "</div>" * depth
+        pieces = check(text, 500, 60)
+        assert all(text[b:].startswith(("<div>", "<p>", "</div>")) for _, b, _ in pieces)
+    inner = "<li>" + "word " * 30 + "<ul>" + "".join(f"<li>{'deep word ' * 6}</li>" for _ in range(10)) + "</ul></li>"
+    text = "<ol>" * 40 + inner * 6 + "</ol>" * 40
+    assert all(text[b:].startswith(("<ol>", "<li>", "<ul>", "</ol>")) for _, b, _ in check(text, 1200, 100))
+
+
 def test_limits():
     assert s.cut("a" * 10, 10, 2) == [(0, 0, 10)]
     with pytest.raises(ValueError):

@@ -29,7 +29,7 @@ from leafmill.functions.html import visible_text
 from leafmill.llm.state import materialized
 
 MIN_LETTERS, MIN_DOCUMENTS, MIN_SHARE = 12, 3, 0.1
-#: Up to so many rows (of a hash or two, or some line numbers) are broadcast.
+#: Up to so many hashes or line numbers are broadcast.
 BROADCAST = 500_000
 
 
@@ -94,7 +94,7 @@ def remove_lines(df: DataFrame, found: DataFrame, key: str, html: str = "html",
     """`df` with the found lines (key, line_no) taken out of `html`; rows without any stay as they are. The lines are
     put together per row first; only the rows that have some and the rows of `df` meet."""
     drop = materialized(found.groupBy(F.col(key).alias("__key")).agg(F.collect_set("line_no").alias("__lines")))
-    side = F.broadcast(drop) if drop.count() <= broadcast_rows else drop
+    side = F.broadcast(drop) if (drop.agg(F.sum(F.size("__lines"))).first()[0] or 0) <= broadcast_rows else drop
     kept = F.array_join(F.filter(F.split(F.col(f"`{html}`"), "\n", -1), lambda x, i: ~F.array_contains("__lines", i + 1)), "\n")
     joined = df.join(side, F.col(f"`{key}`") == F.col("__key"), "left")
     return joined.withColumn(html, F.when(F.col("__lines").isNull(), F.col(f"`{html}`")).otherwise(kept)).drop("__key", "__lines")

@@ -3,9 +3,12 @@
 Items are spread by a hash over groups whose number follows the corpus (so that a group has about `windows` containers
 and at most about `group_items` items); each group is packed in one task. Within a group, every item starts as a
 partial partition; the two partial partitions with the greatest imbalance are merged with opposing order, largest
-subset to smallest, until one is left. Where a subset exceeds the capacity by the little that they differ, items are exchanged; if that does not do, the
-number of containers rises and the differencing starts over. A container count of about `windows` per group bounds the room lost to grouping to well
-under one percent, and no task ever sees more than its group.
+subset to smallest, until one is left. Whenever a subset exceeds the capacity, the number of containers rises and the
+differencing starts over. A container count of about `windows` per group bounds the room lost to grouping to well under
+one percent, and no task ever sees more than its group.
+
+`exchange`, off unless asked for, is a step that differencing does not have: where a subset exceeds the capacity by the
+little that subsets differ, items are exchanged between subsets, and the number rises only if that does not do.
 
 Equal items are counted before the shuffle, so one key or one repeated row can't make a group large.
 
@@ -75,6 +78,7 @@ def settle(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> np.nd
 
     Differencing leaves subsets that differ by a little; at a tight count some are over by that little. The fullest
     gives an item for a smaller one of a subset with room: the least exchange that suffices, else the largest possible.
+    After four exchanges a subset it gives up, which costs a container and no more.
     """
     where, load = where.copy(), np.bincount(where, weights=sizes, minlength=k).astype(np.int64)
     for _ in range(4 * k):
@@ -97,7 +101,7 @@ def settle(sizes: np.ndarray, where: np.ndarray, k: int, capacity: int) -> np.nd
     return None
 
 
-def assign(sizes: list[int], capacity: int) -> list[int]:
+def assign(sizes: list[int], capacity: int, exchange: bool = False) -> list[int]:
     """The container, from 0, of each item; no container holds more than `capacity`. Sizes are at most `capacity`."""
     out = [0] * len(sizes)
     full = [i for i, s in enumerate(sizes) if s >= capacity]
@@ -115,7 +119,7 @@ def assign(sizes: list[int], capacity: int) -> list[int]:
             placed[subset] = n
         load = np.bincount(placed, weights=lengths, minlength=k).astype(np.int64)
         excess = int(np.maximum(load - capacity, 0).sum())
-        settled = placed if not excess else settle(lengths, placed, k, capacity)
+        settled = placed if not excess else settle(lengths, placed, k, capacity) if exchange else None
         if settled is not None:
             break
         k += max(1, excess // capacity)
@@ -124,7 +128,7 @@ def assign(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", windows: int = 256, group_items: int = 20_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", windows: int = 256, group_items: int = 20_000, exchange: bool = False) -> DataFrame:
     """Each item's container: (key, copy_no, piece_no, container_id, piece_start, piece_size).
 
     `copy_no` numbers equal rows from 1; `piece_no` numbers an item's pieces from 1, and `piece_start` is where a piece
@@ -156,12 +160,13 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["piece_size", "key", "copy_no", "piece_no"], ascending=[False, True, True, True])
-        places = assign(group["piece_size"].tolist(), capacity)
+        places = assign(group["piece_size"].tolist(), capacity, exchange)
         group["container_id"] = group["group"].astype("int64") * 2**20 + places
         return group[["key", "copy_no", "piece_no", "container_id", "piece_start", "piece_size"]]
 
     kind = items.schema[key].dataType.simpleString()
-    # partitions by the number of groups, not by their bytes: packing costs time, not memory
+    # partitions by the number of groups, not by their bytes: packing costs time, not memory; beyond 10,000 tasks, which
+    # keep any cluster busy, a task has several groups, one after the other
     placed = pieces.repartition(min(groups, 10_000), "group").groupBy("group").applyInPandas(
         place, f"key {kind}, copy_no long, piece_no int, container_id long, piece_start long, piece_size long"
     )

@@ -24,11 +24,11 @@ def test_container_count_against_brute_force():
             len(set(a)) for a in product(range(6), repeat=6)
             if max(Counter({c: sum(s for s, x in zip(sizes, a) if x == c) for c in set(a)}).values()) <= 10
         )
-        places = packing.assign(sizes, 10)
-        load = Counter()
-        for s, c in zip(sizes, places):
-            load[c] += s
-        assert max(load.values()) <= 10 and len(load) <= best + 1
+        for exchange in (False, True):
+            load = Counter()
+            for s, c in zip(sizes, packing.assign(sizes, 10, exchange)):
+                load[c] += s
+            assert max(load.values()) <= 10 and len(load) <= best + 1
 
 
 def packed(spark, rows, capacity, **kw):
@@ -52,6 +52,7 @@ def test_whole_result(spark):
     assert [sorted(v)[0] for k, v in sorted(pieces.items()) if k[0] == 9003] == [(i * 1000, 1000) for i in range(25)]
     assert sum(r.piece_no > 1 for r in got) == sum(-(-(n or 1) // 1000) - 1 for _, n in rows if (n or 0) > 1000)
     assert sum(load.values()) / 1000 / len(load) > 0.93
+    assert len({r.container_id for r in packed(spark, rows, 1000, windows=32, exchange=True)}) <= len(load)
     assert sum(1 for r in got if r.doc_id == 9010) == 1500
 
 

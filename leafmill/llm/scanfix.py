@@ -2,7 +2,8 @@
 
 * Words are compared by a skeleton of confusable glyphs (the strokes they are made of, so that m, rn and in fall
   together): a word that is not in the lexicon is joined to the lexicon words of its skeleton, and an exact check
-  against the known misreadings of that word follows. Of several words the one more frequent in the corpus is chosen.
+  against the known misreadings of that word follows. Of several words the nearest is chosen, of equally near ones the
+  one that follows the same word most often in all texts, then the most frequent one.
 * Running heads and page numbers are found by masking the page's own number in a line: what is left is nothing, or a
   line in title case that recurs in the document, is its title, stands at a page's edge or carries the number.
 * A word is divided if a line ends in a hyphen within letters and the word formed with the next line of text is a
@@ -10,12 +11,13 @@
 * Lines are joined to paragraphs with SQL windows over each row's lines.
 
 All of it is built-in expressions. Texts are read once, line by line, and never shuffled; the few lines with something
-to look into are written once to the shared checkpoint folder, and every step works on these. The lexicon is counted first: up to `LEXICON` words it is a literal set and a broadcast
-side, beyond that both are shuffled joins. What is gathered per document is two numbers per head, added up before the
-shuffle.
+to look into are written once to the shared checkpoint folder, and every step works on these, pages and cells together.
+What there is to mend comes out as one table (`repairs`); finding lists it, and the paragraphs apply it, so they agree.
+The lexicon is counted first: up to `LEXICON` words it is a literal set and a broadcast side, beyond that both are
+shuffled joins. What is gathered per document is two numbers per head, added up before the shuffle.
 
 Defined results: null and empty texts have no lines; a null page number matches no number; null origin counts as a
-scan where the page carries OCR classes (ocr, ocr_page, ...); without them a page has no furniture, and is repaired to
+scan where the page carries OCR classes (ocr, ocr_page, ...); a page that is no scan has no furniture, and is repaired to
 paragraphs if words of it are divided or misread; rows are found once however often they are repeated; an empty lexicon finds
 furniture only.
 """
@@ -32,8 +34,10 @@ from leafmill.functions.html import let, strip_tags, unescape
 from leafmill.functions.text import SPACES
 from leafmill.llm.state import materialized
 
-#: So many lexicon words are taken as a literal set and broadcast.
+#: So many words are taken as a literal set and broadcast.
 LEXICON = 50_000
+#: What a line is known by.
+LINE = ["tbl", "row_id", "line_no"]
 
 # What a glyph or two are read as, by what they are.
 MISREAD = {
@@ -91,13 +95,6 @@ class Lexicon:
         """Of an array of words those outside the lexicon; all of them if it is too large to be a literal."""
         return F.filter(words, lambda w: ~F.lower(w).isin(self.words)) if self.small and self.words else words
 
-    def in_doubt(self, word: Column) -> Column:
-        """Whether a word shares its skeleton with another one of the lexicon; of a large lexicon any word may."""
-        if not self.small:
-            return F.lit(True)
-        shared = self.rows.groupBy("skeleton").agg(F.collect_set("proper").alias("all")).where("size(all) > 1").select(F.explode("all")).collect()
-        return word.isin([r[0] for r in shared]) if shared else F.lit(False)
-
     def match(self, df: DataFrame, word: str = "word") -> DataFrame:
         """`df` joined to the lexicon words that its word is, or is a misreading of (`proper`)."""
         return df.withColumn("skeleton", skeleton(F.col(word))).join(self.rows, "skeleton").where(f"{word} rlike pattern").drop("skeleton", "pattern")
@@ -114,10 +111,10 @@ def _digits(text: Column) -> Column:
 
 
 def _roman(number: Column) -> Column:
-    """Of 1 to 399, else ''."""
-    places = (("c", "cc", "ccc"), ("x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"), ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"))
-    parts = [F.coalesce(F.try_element_at(F.array(*map(F.lit, p)), F.nullif((F.floor(number / 10**e) % 10).cast("int"), F.lit(0))), F.lit("")) for p, e in zip(places, (2, 1, 0))]
-    return F.when(number.between(1, 399), F.concat(*parts)).otherwise("")
+    """Of 1 to 3999, which is what there are, else ''."""
+    places = (("m", "mm", "mmm"), ("c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"), ("x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"), ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"))
+    parts = [F.coalesce(F.try_element_at(F.array(*map(F.lit, p)), F.nullif((F.floor(number / 10**e) % 10).cast("int"), F.lit(0))), F.lit("")) for p, e in zip(places, (3, 2, 1, 0))]
+    return F.when(number.between(1, 3999), F.concat(*parts)).otherwise("")
 
 
 _MINOR = r"^(?:[o0][ft]|t[hb][ec]|[ao0](?:n|u|ri)(?:d|cl)|[o0](?:n|u|ri)|a)$"
@@ -126,7 +123,7 @@ _MINOR = r"^(?:[o0][ft]|t[hb][ec]|[ao0](?:n|u|ri)(?:d|cl)|[o0](?:n|u|ri)|a)$"
 def _head_parts(text: Column, page: Column) -> tuple[Column, Column, Column]:
     """Whether a line is a page number only; its text without the page's number; whether it had one."""
     own = page.cast("string")
-    alone = F.when(F.length(text) <= 40, F.regexp_extract(text, rf"^[\[(|–—\- ]*(?:[Pp][ao0][g9][ec]|[Pp]\.?)? *({_NUMBER}|[ivxlcIVXLC]+)(?: +(?:[o0][ft]|/) +{_NUMBER})?[\])|–—\- ]*$", 1)).otherwise("")
+    alone = F.regexp_extract(text, rf"^[\[(|–—\- ]*(?:[Pp][ao0][g9][ec]|[Pp]\.?)? *({_NUMBER}|[ivxlcdmIVXLCDM]+)(?: +(?:[o0][ft]|/) +{_NUMBER})?[\])|–—\- ]*$", 1)
     number = (alone != "") & ((_digits(alone) == own) | (F.lower(alone) == _roman(page)))
     lead = F.regexp_extract(text, rf"^({_NUMBER}) +", 1)
     tail = F.regexp_extract(text, rf" (?:\| *)?({_NUMBER})$", 1)
@@ -139,7 +136,7 @@ def _title_case(core: Column) -> Column:
     words = F.split(core, " ")
     capital = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Z0-9|]")))
     minor = F.size(F.filter(words, lambda w: w.rlike(_MINOR)))
-    return (F.length(core) <= 90) & ~core.rlike(r"[.,;:!?]") & (capital >= 2) & (F.size(words) >= 3) & (capital + minor >= F.size(words)) & core.rlike(r"(?:^| )[A-Z0-9|][^ ]*$")
+    return ~core.rlike(r"[.,;:!?]") & (capital >= 2) & (F.size(words) >= 3) & (capital + minor >= F.size(words)) & core.rlike(r"(?:^| )[A-Z0-9|][^ ]*$")
 
 
 def _bare(raw: Column, markup: bool) -> Column:
@@ -185,7 +182,7 @@ _ENDS = rf"(?:[{_HYPHENS}]|;)(?:\s|\u00a0|<[^<>]*>)*$"
 
 def _is_head(text: Column, page: Column) -> Column:
     number, core, _ = _head_parts(text, page)
-    return (F.length(text) <= 110) & (number | (~text.rlike(r"[.,;:!?]") & _title_case(core)))
+    return number | (~text.rlike(r"[.,;:!?]") & _title_case(core))
 
 
 def text_lines(df: DataFrame, keys: list[str], text: str, page: Column | None = None, scan: Column | None = None, markup: bool = True) -> DataFrame:
@@ -233,13 +230,12 @@ def text_lines(df: DataFrame, keys: list[str], text: str, page: Column | None =
     lines = lines.withColumn("last", F.when(F.substring("text", -1, 1).isin(*_HYPHENS), F.regexp_extract("text", rf"([\p{{L}}\p{{N}}|]+)[{_HYPHENS}]$", 1)).otherwise(""))
 
     number, core, numbered = _head_parts(F.col("text"), F.col("page"))
-    plausible = F.col("scan") & (F.length("text") <= 110)
     lines = lines.withColumn("ahead", F.when(F.col("last") != "", F.col("ahead")))
     if scan is None:
         lines = lines.withColumns({"core": F.lit(None).cast("string"), "numbered": F.lit(False), "head": F.lit(False)})
     else:
-        named = plausible & ~F.col("text").rlike(r"[.,;:!?]")
-        lines = _staged(lines, number=F.coalesce(plausible & number, F.lit(False)), core=F.when(named, core), numbered=F.coalesce(named & numbered, F.lit(False)))
+        named = F.col("scan") & ~F.col("text").rlike(r"[.,;:!?]")
+        lines = _staged(lines, number=F.coalesce(F.col("scan") & number, F.lit(False)), core=F.when(named, core), numbered=F.coalesce(named & numbered, F.lit(False)))
         lines = _staged(lines, core=F.when(F.col("number"), "").otherwise(F.col("core")), head=F.coalesce(F.col("number") | F.when(F.col("core").isNotNull(), _title_case(F.col("core"))), F.lit(False)))
     return lines.select(
         *keys, "line_no", "text", "raw", F.regexp_extract("text", _FIRST, 1).alias("first"), "last",
@@ -262,51 +258,50 @@ def is_scan() -> Column:
     return F.when(F.col("origin").isNull(), has_ocr_class()).otherwise(F.col("origin") == "scan")
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """`text_lines` of pages (row_id, doc_id, page_no, html, origin)."""
-    return text_lines(pages.where("html is not null"), ["row_id", "doc_id", "page_no"], "html", F.col("page_no"), is_scan())
-
-
-def cell_lines(cells: DataFrame) -> DataFrame:
-    """`text_lines` of table cells (row_id, text); their text is plain."""
-    return text_lines(cells.where("text is not null"), ["row_id"], "text", markup=False)
+def text_table(pages: DataFrame, cells: DataFrame | None) -> DataFrame:
+    """`text_lines` of all pages (row_id, doc_id, page_no, html, origin) and cells (row_id, text; plain text), by `tbl`."""
+    key = ["tbl", "row_id", "doc_id", "page_no"]
+    out = text_lines(pages.where("html is not null").withColumn("tbl", F.lit("pages")), key, "html", F.col("page_no"), is_scan())
+    if cells is None:
+        return out
+    plain = cells.where("text is not null").select(F.lit("table_cells").alias("tbl"), "row_id", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("int").alias("page_no"), "text")
+    return out.unionByName(text_lines(plain, key, "text", markup=False))
 
 
-def suspects(lines: DataFrame, lexicon: Lexicon, with_text: bool = False) -> DataFrame:
+def suspects(lines: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The lines with something to look into, written once: heads, lines that end in a hyphen, and lines with words
     outside the lexicon (`words`) or numbers with letters (`numbers`). Everything else reads this narrow table."""
     quiet = F.lit(None).cast("array<string>")
     words = F.when(~F.col("head"), _tokens(lexicon)).otherwise(quiet)
     numbers = F.when(~F.col("head") & F.col("text").rlike("[0-9]"), F.filter(F.regexp_extract_all("text", F.lit(_MIXED), F.lit(0)), lambda w: w.rlike("[0-9]") & w.rlike(r"[OoIl|SB]"))).otherwise(quiet)
     kept = _staged(lines.drop("raw"), words=words, numbers=numbers)
-    kept = kept if with_text else kept.drop("text")
     return materialized(kept.where("head or (last <> '' and next_first <> '') or size(words) > 0 or size(numbers) > 0"))
 
 
 def furniture(found: DataFrame, titles: DataFrame) -> DataFrame:
-    """(row_id, line_no) of running heads and feet and page numbers among `suspects`; `titles` has (doc_id, title)."""
-    heads = found.where("head").select("row_id", "doc_id", "page_no", "line_no", "numbered", "edge", F.replace(skeleton(F.col("core")), F.lit(" ")).alias("mask"))
+    """(tbl, row_id, line_no) of running heads and feet and page numbers among `suspects`; `titles` has (doc_id, title)."""
+    heads = found.where("head").select(*LINE, "doc_id", "page_no", "numbered", "edge", F.replace(skeleton(F.col("core")), F.lit(" ")).alias("mask"))
     sure = (F.col("mask") == "") | F.col("numbered") | F.col("edge")
     # a head within a page needs its document: it recurs on other pages, or is the title
     recurs = heads.where("mask <> ''").groupBy("doc_id", "mask").agg(F.min("page_no").alias("a"), F.max("page_no").alias("b"), F.max("numbered").alias("n")).where("a < b or n").select("doc_id", "mask")
     named = titles.select("doc_id", F.replace(skeleton(F.col("title")), F.lit(" ")).alias("mask")).where("mask <> ''")
     rest = heads.where(~sure).join(recurs.unionByName(named).distinct(), ["doc_id", "mask"], "left_semi")
-    return heads.where(sure).select("row_id", "line_no").unionByName(rest.select("row_id", "line_no")).distinct()
+    return heads.where(sure).select(*LINE).unionByName(rest.select(*LINE)).distinct()
 
 
 def divided(found: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(row_id, line_no, next_no, joined) of `suspects` whose last word goes on in the next one; `joined` is the whole word, set right."""
-    at = found.where("last <> '' and next_first <> ''").select("row_id", "line_no", "next_no", "last", "next_first").distinct()
+    """(tbl, row_id, line_no, next_no, joined) of `suspects` whose last word goes on in the next one; `joined` is the whole word, set right."""
+    at = found.where("last <> '' and next_first <> ''").select(*LINE, "next_no", "last", "next_first").distinct()
     hanging = F.lower("next_first").isin(*_HANGING)
     parts = at.select("*", F.explode(F.array(
         F.struct(F.lit(0).alias("part"), F.concat("last", "next_first").alias("word")),
         F.struct(F.lit(1).alias("part"), F.when(~hanging, F.col("last")).alias("word")),
         F.struct(F.lit(2).alias("part"), F.when(~hanging & F.col("next_first").rlike("^[^A-Z]"), F.col("next_first")).alias("word")),
-    )).alias("p")).select("row_id", "line_no", "next_no", "last", "p.part", "p.word")
-    found = lexicon.match(parts).groupBy("row_id", "line_no", "next_no", "last").agg(*[F.min(F.when(F.col("part") == n, F.struct(F.lower("word") != F.col("proper"), "proper"))).alias(f"is{n}") for n in range(3)])
+    )).alias("p")).select(*LINE, "next_no", "last", "p.part", "p.word")
+    found = lexicon.match(parts).groupBy(*LINE, "next_no", "last").agg(*[F.min(F.when(F.col("part") == n, F.struct(F.lower("word") != F.col("proper"), "proper"))).alias(f"is{n}") for n in range(3)])
     whole, compound = F.col("is0.proper"), F.concat_ws("-", "is1.proper", "is2.proper")
     found = found.where("is0 is not null or is1 is not null and is2 is not null")
-    return found.select("row_id", "line_no", "next_no", _cased(F.coalesce(whole, compound), F.col("last")).alias("joined"))
+    return found.select(*LINE, "next_no", _cased(F.coalesce(whole, compound), F.col("last")).alias("joined"))
 
 
 def _cased(word: Column, like: Column) -> Column:
@@ -321,13 +316,13 @@ def _tokens(lexicon: Lexicon) -> Column:
 
 
 def misread_words(found: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(row_id, line_no, word, proper) of `suspects`' words that are lexicon words once set right, but for the parts
-    of a divided word."""
+    """(tbl, row_id, line_no, word, proper) of `suspects`' words with each lexicon word that they are once set right, but
+    for the parts of a divided word."""
     goes_on = (F.col("last") != "") & (F.col("next_first") != "") & ~F.lower("next_first").isin(*_HANGING)
-    words = found.select("row_id", "line_no", "first", F.when(goes_on, F.col("last")).otherwise("").alias("last"), F.explode("words").alias("word"))
-    fit = lexicon.misread(words.where("word <> last")).select("row_id", "line_no", "first", "word", "proper").distinct()
-    taken = found.where(goes_on).select("row_id", F.col("next_no").alias("line_no"), F.col("next_first").alias("word"), F.col("next_first").alias("first")).distinct()
-    return fit.join(taken, ["row_id", "line_no", "word", "first"], "left_anti").drop("first")
+    words = found.select(*LINE, "first", F.when(goes_on, F.col("last")).otherwise("").alias("last"), F.explode("words").alias("word"))
+    fit = lexicon.misread(words.where("word <> last")).select(*LINE, "first", "word", "proper").distinct()
+    taken = found.where(goes_on).select("tbl", "row_id", F.col("next_no").alias("line_no"), F.col("next_first").alias("word"), F.col("next_first").alias("first")).distinct()
+    return fit.join(taken, [*LINE, "word", "first"], "left_anti").drop("first")
 
 
 #: A number with letters among its digits.
@@ -335,101 +330,106 @@ _MIXED = rf"(?<![\p{{L}}\p{{N}}|.,-])(?=[^ ]*[0-9])(?=[^ ]*[OoIl|SB]){_NUMBER}(?
 
 
 def misread_numbers(found: DataFrame) -> DataFrame:
-    """(row_id, line_no, word, proper) of `suspects`' numbers with letters in place of digits."""
-    return found.select("row_id", "line_no", F.explode("numbers").alias("word")).distinct().withColumn("proper", _digits(F.col("word")))
-
-
-def find_noise(pages: DataFrame, cells: DataFrame, titles: DataFrame, words: DataFrame) -> DataFrame:
-    """(tbl, row_id, line_no, kind) for the lines of pages and table cells; each once per kind."""
-    lexicon = Lexicon(words)
-    parts = []
-    for name, lines in (("pages", page_lines(pages)), ("table_cells", cell_lines(cells))):
-        found = suspects(lines, lexicon)
-        kinds = [("break", divided(found, lexicon)), ("misread", misread_words(found, lexicon)), ("misread", misread_numbers(found))]
-        if name == "pages":
-            kinds.append(("furniture", furniture(found, titles)))
-        parts += [x.select(F.lit(name).alias("tbl"), "row_id", "line_no", F.lit(kind).alias("kind")) for kind, x in kinds]
-    return reduce(DataFrame.unionAll, parts).distinct()
+    """(tbl, row_id, line_no, word, proper) of `suspects`' numbers with letters in place of digits."""
+    return found.select(*LINE, F.explode("numbers").alias("word")).distinct().withColumn("proper", _digits(F.col("word")))
 
 
 _WORDS = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9|]+"), F.lit(0))
 
 
-def word_uses(pages: DataFrame, cells: DataFrame | None, lexicon: Lexicon) -> DataFrame:
-    """(proper, prev, together): how often a word that may be in doubt follows another one in all `pages` and `cells`,
-    scanned or not; null begins a text. Counted once, as all that asks for it is small."""
-    # only words that share a skeleton with another one can be in doubt; these leave the texts with their forerunner
-    pairs = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("proper"), F.when(i > 0, F.try_element_at(F.col("w"), F.greatest(i, F.lit(1)))).alias("prev"))), lambda p: lexicon.in_doubt(p.proper))
-    texts = pages.select(_WORDS(strip_tags(F.col("html"), " ")).alias("w"))
-    if cells is not None:
-        texts = texts.unionAll(cells.select(_WORDS(F.col("text")).alias("w")))
-    return materialized(texts.select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together")))
-
+def word_uses(pages: DataFrame, cells: DataFrame | None, asked: DataFrame) -> DataFrame:
+    """(proper, prev, together): how often each of the words `asked` for (`proper`) follows another one in all `pages` and
+    `cells`, scanned or not; null begins a text. Written once.
 
-def _supported(uses: DataFrame, found: DataFrame, fit: DataFrame) -> DataFrame:
-    """`fit` (row_id, line_no, word, proper) with one `proper` each: where a misreading has several, the nearest,
-    of these the one that follows the same word most often in `uses`, then the most frequent, then the first by letter. `found` are
-    `suspects` with their text."""
-    lone = fit.groupBy("row_id", "line_no", "word").agg(F.min("proper").alias("proper"), F.max("proper").alias("other"))
-    several = lone.where("proper <> other").select("row_id", "line_no", "word")
+    The words asked for are counted: up to `LEXICON` they are a literal set, so that only they and their forerunners
+    leave the texts; beyond that all words do, and meet them in a join. Uses are added up before they move.
+    """
+    head = [r.proper for r in asked.limit(LEXICON + 1).collect()]
+    few = len(head) <= LEXICON
+    wanted = (lambda x: x.isin(head)) if few and head else (lambda x: F.lit(not few))
+    pairs = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("proper"), F.when(i > 0, F.try_element_at(F.col("w"), F.greatest(i, F.lit(1)))).alias("prev"))), lambda p: wanted(p.proper))
+    texts = pages.select(strip_tags(F.col("html"), " ").alias("t"))
+    if cells is not None:
+        texts = texts.unionAll(cells.select("text"))
+    uses = texts.select(_WORDS(F.col("t")).alias("w")).where(F.exists("w", wanted)).select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together"))
+    return materialized(uses if few else uses.join(asked, "proper", "left_semi"))
+
+
+def supported(pages: DataFrame, cells: DataFrame | None, found: DataFrame, fit: DataFrame) -> DataFrame:
+    """`fit` (line, word, proper) with one `proper` each: where a misreading has several, the nearest, of these the one
+    that follows the same word most often in all texts, then the most frequent, then the first by letter."""
+    each = materialized(fit)
+    lone = each.groupBy(*LINE, "word").agg(F.min("proper").alias("proper"), F.max("proper").alias("other"))
+    several = lone.where("proper <> other").select(*LINE, "word")
+    choice = several.join(each, [*LINE, "word"])
+    uses = word_uses(pages, cells, choice.select("proper").distinct())
     alone = uses.groupBy("proper").agg(F.sum("together").alias("alone"))
     before = F.expr("transform(filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), p -> p.x = lower(word) and p.i > 0), p -> w[p.i - 1])")
-    texts = found.select("row_id", "line_no", _WORDS(F.col("text")).alias("w")).distinct()
-    context = several.join(texts, ["row_id", "line_no"]).select("row_id", "line_no", "word", F.explode_outer(before).alias("prev")).distinct()
+    texts = found.where("size(words) > 0").select(*LINE, _WORDS(F.col("text")).alias("w")).distinct()
+    context = several.join(texts, LINE).select(*LINE, "word", F.explode_outer(before).alias("prev")).distinct()
     # a word that never follows this one still counts by itself
-    choice = context.join(fit, ["row_id", "line_no", "word"]).join(uses, ["proper", "prev"], "left").join(alone, "proper", "left")
+    weighed = context.join(each, [*LINE, "word"]).join(uses, ["proper", "prev"], "left").join(alone, "proper", "left")
     best = F.min_by("proper", F.struct(F.levenshtein(F.lower("word"), F.col("proper")), -F.coalesce("together", F.lit(0)), -F.coalesce("alone", F.lit(0)), "proper"))
-    chosen = choice.groupBy("row_id", "line_no", "word").agg(best.alias("best"))
-    return lone.join(chosen, ["row_id", "line_no", "word"], "left").select("row_id", "line_no", "word", F.coalesce("best", "proper").alias("proper"))
+    chosen = weighed.groupBy(*LINE, "word").agg(best.alias("best"))
+    return lone.join(chosen, [*LINE, "word"], "left").select(*LINE, "word", F.coalesce("best", "proper").alias("proper"))
+
+
+def repairs(pages: DataFrame, cells: DataFrame | None, titles: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(tbl, row_id, line_no, fixes, joined, out): what there is to mend in each line that has something: `fixes` (word,
+    proper), the divided word that begins here, whole, and whether the line is furniture. Written once."""
+    found = suspects(text_table(pages, cells), lexicon)
+    fixes = supported(pages, cells, found, misread_words(found, lexicon)).select(*LINE, "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
+    fix = F.struct("word", "proper").alias("fix")
+    none, no_fix = F.lit(None).cast("string").alias("joined"), F.lit(None).cast("struct<word:string,proper:string>").alias("fix")
+    known = (
+        fixes.unionByName(misread_numbers(found)).select(*LINE, fix, none, F.lit(False).alias("out"))
+        .unionAll(divided(found, lexicon).select(*LINE, no_fix, "joined", F.lit(False)))
+        .unionAll(furniture(found, titles).select(*LINE, no_fix, none, F.lit(True)))
+    )
+    return materialized(known.groupBy(*LINE).agg(F.array_sort(F.collect_set("fix")).alias("fixes"), F.max("joined").alias("joined"), F.max("out").alias("out")))
+
+
+def find_noise(pages: DataFrame, cells: DataFrame, titles: DataFrame, words: DataFrame) -> DataFrame:
+    """(tbl, row_id, line_no, kind) for the lines of pages and table cells that `repairs` mends; each once per kind."""
+    kinds = F.array(F.when(F.col("out"), "furniture"), F.when(~F.col("out") & F.col("joined").isNotNull(), "break"), F.when(~F.col("out") & (F.size("fixes") > 0), "misread"))
+    mended = repairs(pages, cells, titles, Lexicon(words))
+    return mended.select(*LINE, F.explode(F.array_compact(kinds)).alias("kind"))
 
 
 # By whether a line has markup.
 _INDENT = {True: r"^(?:\s*<[^<>]*>)*(?:&nbsp;|&#160;|&#xa0;|\u00a0|\t|  )", False: r"^(?:\u00a0|\t|  )"}
+#: Up to so many row ids are broadcast.
+BROADCAST = 1_000_000
 
 
 def paragraphs(pages: DataFrame, titles: DataFrame, words: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """(tbl, row_id, paragraph, text) of the scans among `pages`, those of no origin that show noise, and all `cells`:
-    without furniture (pages only), words whole and set right, reflowed.
+    """(tbl, row_id, paragraph, text) of the scans among `pages`, all other pages in which there is something to mend,
+    and all `cells`: without furniture (pages only), words whole and set right, reflowed.
 
     A paragraph begins at an indented line and at a row's first line. What is known of a row's lines comes to the row
     as one small map, so a row moves once, to its row_id; lines, windows and paragraphs are made where it then lies.
-    Rows delivered twice under one row_id count once (the first in order of their columns).
+    Pages with nothing to mend stay where they are. Rows delivered twice under one row_id count once (the first in order
+    of their columns).
     """
-    lexicon = Lexicon(words)
-    uses = word_uses(pages, cells, lexicon)
-    read = pages.where((is_scan() | F.col("origin").isNull()) & F.col("html").isNotNull())
-    found = suspects(page_lines(read), lexicon, with_text=True)
-    heads = furniture(found, titles)
-    once = read.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p"), F.max(is_scan()).alias("sure")).select("row_id", F.col("p.html").alias("text"), "sure")
-    out = _reflowed(once, _repairs(uses, found, lexicon, heads), True).select(F.lit("pages").alias("tbl"), "row_id", "paragraph", "text")
+    mended = repairs(pages, cells, titles, Lexicon(words))
+    known = mended.groupBy("tbl", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.struct("fixes", "joined", "out").alias("at")))).alias("known"))
+    rows = mended.where("tbl = 'pages'").select("row_id").distinct()
+    some = F.broadcast(rows) if rows.count() <= BROADCAST else rows
+    read = pages.where("html is not null")
+    read = read.where(is_scan()).unionAll(read.where(~F.coalesce(is_scan(), F.lit(False))).join(some, "row_id", "left_semi").select(*read.columns))
+    once = read.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p")).select("row_id", F.col("p.html").alias("text"))
+    out = _reflowed(once, known, "pages")
     if cells is None:
         return out
-    found = suspects(cell_lines(cells), lexicon, with_text=True)
-    once = cells.where("text is not null").groupBy("row_id").agg(F.min("text").alias("text")).withColumn("sure", F.lit(True))
-    return out.unionAll(_reflowed(once, _repairs(uses, found, lexicon), False).select(F.lit("table_cells").alias("tbl"), "row_id", "paragraph", "text"))
-
-
-def _repairs(uses: DataFrame, found: DataFrame, lexicon: Lexicon, heads: DataFrame | None = None) -> DataFrame:
-    """(row_id, known): by line number what there is to mend in a row, from its `suspects` and its furniture."""
-    fixes = _supported(uses, found, misread_words(found, lexicon)).select("row_id", "line_no", "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
-    fix = F.struct("word", "proper").alias("fix")
-    none, no_fix = F.lit(None).cast("string").alias("joined"), F.lit(None).cast("struct<word:string,proper:string>").alias("fix")
-    known = (
-        fixes.unionByName(misread_numbers(found)).select("row_id", "line_no", fix, none, F.lit(False).alias("out"))
-        .unionAll(divided(found, lexicon).select("row_id", "line_no", no_fix, "joined", F.lit(False)))
-    )
-    if heads is not None:
-        known = known.unionAll(heads.select("row_id", "line_no", no_fix, none, F.lit(True)))
-    return (
-        known.groupBy("row_id", "line_no").agg(F.array_sort(F.collect_set("fix")).alias("fixes"), F.max("joined").alias("joined"), F.max("out").alias("out"))
-        .groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.struct("fixes", "joined", "out").alias("at")))).alias("known"))
-    )
+    once = cells.where("text is not null").groupBy("row_id").agg(F.min("text").alias("text"))
+    return out.unionAll(_reflowed(once, known, "table_cells"))
 
 
-def _reflowed(rows: DataFrame, known: DataFrame, markup: bool) -> DataFrame:
-    """(row_id, paragraph, text) of `rows` (row_id, text, sure), their lines mended as `known`; rows that are not sure
-    to be scans only if something is known of them."""
-    lines = rows.join(known, "row_id", "left").where("sure or known is not null").select("row_id", "known", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+def _reflowed(rows: DataFrame, known: DataFrame, tbl: str) -> DataFrame:
+    """(tbl, row_id, paragraph, text) of `rows` (row_id, text), their lines mended as `known` of them."""
+    markup = tbl == "pages"
+    own = known.where(F.col("tbl") == tbl).drop("tbl")
+    lines = rows.join(own, "row_id", "left").select("row_id", "known", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     lines = lines.select("row_id", (F.col("pos") + 1).alias("line_no"), "raw", F.try_element_at("known", F.col("pos") + 1).alias("at")).where("at is null or not at.out")
     lines = _with_text(lines, markup)
     fixed = F.expr(
@@ -443,4 +443,5 @@ def _reflowed(rows: DataFrame, known: DataFrame, markup: bool) -> DataFrame:
     body = body.select("row_id", "line_no", text.alias("text"), "after", begins.cast("int").alias("begins"))
     body = body.withColumn("paragraph", F.sum("begins").over(in_row))
     piece = F.concat(F.when(F.col("after").isNull() & (F.col("begins") == 0), " ").otherwise(""), "text")
-    return body.withColumn("piece", piece).groupBy("row_id", "paragraph").agg(F.expr("listagg(piece, '') within group (order by line_no)").alias("text"))
+    whole = body.withColumn("piece", piece).groupBy("row_id", "paragraph").agg(F.expr("listagg(piece, '') within group (order by line_no)").alias("text"))
+    return whole.select(F.lit(tbl).alias("tbl"), "row_id", "paragraph", "text")

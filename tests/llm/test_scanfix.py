@@ -64,8 +64,8 @@ def test_scans_without_origin(spark, words):
     assert {(r, n) for _, r, n, k in got if k == "break"} == {(r, 3) for r in (1, 2, 3)}
     texts = {r.row_id: r.text for r in x.paragraphs(pages(spark, rows), titles(spark, []), words).collect()}
     assert [texts[r] for r in (1, 2, 3, 8)] == ["warden of the water tower"] * 3 + ["the tower"]
-    # no OCR class, but misread words: kept, with all lines
-    assert texts[4] == texts[5] == "3 The Silver Garden and Wiscor warden of the wat- - 3 - er tower" and not {6, 7} & set(texts)
+    # no scan, but misread words: kept, with all lines
+    assert texts[4] == texts[5] == "3 The Silver Garden and Wiscor warden of the wat- - 3 - er tower" and texts[7] == "the tower" and 6 not in texts
 
 
 def test_support_comes_from_all_texts(spark):
@@ -99,10 +99,31 @@ def test_head_within_a_page_needs_its_document(spark, words):
     assert len(found(spark, words, [*alone, (2, "d", 5, body, "scan")])) == 2
 
 
+def test_heads_and_numbers_of_any_length(spark, words):
+    head = "The " + "Silver Garden of " * 20 + "Wiscor"
+    body = "<p>the tower of</p>\n<p>the water</p>\n<p>{0}</p>\n<p>the garden or</p>\n<p>the winter</p>"
+    rows = [(i, "d", i, body.format(head), "scan") for i in (1, 2)] + [(3, "d", 3, f"<p>{head} 3</p>\n<p>the tower of it</p>\n<p>or</p>\n<p>and</p>", "scan")]
+    rows += [(4, "e", 1447, "<p>the tower of</p>\n<p>MCDXLVII</p>\n<p>the water</p>\n<p>or it</p>", "scan"), (5, "e", 12, f"<p>the tower of</p>\n<p>{'- ' * 30}12{' -' * 30}</p>\n<p>the water</p>\n<p>or it</p>", "scan")]
+    assert {(r, n) for _, r, n, k in found(spark, words, rows)} == {(1, 3), (2, 3), (3, 1), (4, 2), (5, 2)}
+
+
+def test_what_is_found_is_mended(spark, words):
+    rows = [(1, "d", 7, PAGE, "scan"), (2, "d", 3, "<p>the tovver</p>\n<p>wat-</p>\n<p>er</p>", "digital"), (3, "d", 4, "<p>2O5 of it</p>", None)]
+    cell_rows = [(1, "wat-\ner tower"), (4, "x 2O5 clearlng")]
+    lines = {(t, r): raw.split("\n") for t, table in (("pages", [(r[0], r[3]) for r in rows]), ("table_cells", cell_rows)) for r, raw in table}
+    texts = {}
+    for r in x.paragraphs(pages(spark, rows), titles(spark, []), words, cells(spark, cell_rows)).collect():
+        texts[r.tbl, r.row_id] = texts.get((r.tbl, r.row_id), "") + "\n" + r.text
+    bare = lambda raw: re.sub("<[^>]*>", "", raw).replace("&nbsp;", "").replace("&mdash;", "\u2014").strip()
+    for t, r, n, _ in found(spark, words, rows, cell_rows):
+        assert f" {bare(lines[t, r][n - 1])} " not in f" {texts[t, r]} ".replace("\n", " ")
+
+
 def test_large_lexicon_gives_the_same(spark, words, monkeypatch):
     rows = [(1, "d", 7, PAGE, "scan")]
     small = found(spark, words, rows)
     monkeypatch.setattr(x.Lexicon.__init__, "__defaults__", ("word", 3))
+    monkeypatch.setattr(x, "LEXICON", 0)
     assert found(spark, words, rows) == small
 
 

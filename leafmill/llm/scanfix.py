@@ -316,11 +316,14 @@ def _tokens(lexicon: Lexicon) -> Column:
 
 
 def misread_words(found: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(tbl, row_id, line_no, word, proper) of `suspects`' words with each lexicon word that they are once set right, but
-    for the parts of a divided word."""
+    """(tbl, row_id, line_no, word, proper, before) of `suspects`' words with each lexicon word that they are once set
+    right, but for the parts of a divided word; `before` are the words that stand before it in the line."""
     goes_on = (F.col("last") != "") & (F.col("next_first") != "") & ~F.lower("next_first").isin(*_HANGING)
-    words = found.select(*LINE, "first", F.when(goes_on, F.col("last")).otherwise("").alias("last"), F.explode("words").alias("word"))
-    fit = lexicon.misread(words.where("word <> last")).select(*LINE, "first", "word", "proper").distinct()
+    words = found.select(*LINE, "text", "first", F.when(goes_on, F.col("last")).otherwise("").alias("last"), F.explode("words").alias("word"))
+    # what stands before a word is looked up where its line lies, for the few words that may be misread
+    before = F.expr("array_distinct(transform(filter(sequence(0, size(w) - 1), i -> w[i] = lower(word)), i -> if(i > 0, w[greatest(i - 1, 0)], null)))")
+    fit = lexicon.misread(words.where("word <> last")).select(*LINE, "first", "word", "proper", _WORDS(F.col("text")).alias("w"))
+    fit = fit.select(*LINE, "first", "word", "proper", before.alias("before")).distinct()
     taken = found.where(goes_on).select("tbl", "row_id", F.col("next_no").alias("line_no"), F.col("next_first").alias("word"), F.col("next_first").alias("first")).distinct()
     return fit.join(taken, [*LINE, "word", "first"], "left_anti").drop("first")
 
@@ -346,39 +349,35 @@ def word_uses(pages: DataFrame, cells: DataFrame | None, asked: DataFrame) -> Da
     """
     head = [r.proper for r in asked.limit(LEXICON + 1).collect()]
     few = len(head) <= LEXICON
-    wanted = (lambda x: x.isin(head)) if few and head else (lambda x: F.lit(not few))
-    pairs = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("proper"), F.when(i > 0, F.try_element_at(F.col("w"), F.greatest(i, F.lit(1)))).alias("prev"))), lambda p: wanted(p.proper))
     texts = pages.select(strip_tags(F.col("html"), " ").alias("t"))
     if cells is not None:
         texts = texts.unionAll(cells.select("text"))
-    uses = texts.select(_WORDS(F.col("t")).alias("w")).where(F.exists("w", wanted)).select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together"))
+    each = texts.select(_WORDS(F.col("t")).alias("w")).select("w", F.posexplode("w").alias("i", "proper"))
+    if few:
+        each = each.where(F.col("proper").isin(head) if head else F.lit(False))
+    uses = each.select("proper", F.when(F.col("i") > 0, F.try_element_at("w", F.greatest("i", F.lit(1)))).alias("prev")).groupBy("proper", "prev").agg(F.count("*").alias("together"))
     return materialized(uses if few else uses.join(asked, "proper", "left_semi"))
 
 
-def supported(pages: DataFrame, cells: DataFrame | None, found: DataFrame, fit: DataFrame) -> DataFrame:
-    """`fit` (line, word, proper) with one `proper` each: where a misreading has several, the nearest, of these the one
-    that follows the same word most often in all texts, then the most frequent, then the first by letter."""
-    each = materialized(fit)
-    lone = each.groupBy(*LINE, "word").agg(F.min("proper").alias("proper"), F.max("proper").alias("other"))
-    several = lone.where("proper <> other").select(*LINE, "word")
-    choice = several.join(each, [*LINE, "word"])
-    uses = word_uses(pages, cells, choice.select("proper").distinct())
+def supported(pages: DataFrame, cells: DataFrame | None, fit: DataFrame) -> DataFrame:
+    """`fit` (line, word, proper, before) with one `proper` each: where a misreading has several, the nearest, of these the
+    one that follows the same word most often in all texts, then the most frequent, then the first by letter."""
+    each = materialized(fit.groupBy(*LINE, "word").agg(F.collect_set("proper").alias("propers"), F.first("before").alias("before")))
+    several = each.where("size(propers) > 1").withColumn("proper", F.explode("propers"))
+    uses = word_uses(pages, cells, several.select("proper").distinct())
     alone = uses.groupBy("proper").agg(F.sum("together").alias("alone"))
-    before = F.expr("transform(filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), p -> p.x = lower(word) and p.i > 0), p -> w[p.i - 1])")
-    texts = found.where("size(words) > 0").select(*LINE, _WORDS(F.col("text")).alias("w")).distinct()
-    context = several.join(texts, LINE).select(*LINE, "word", F.explode_outer(before).alias("prev")).distinct()
     # a word that never follows this one still counts by itself
-    weighed = context.join(each, [*LINE, "word"]).join(uses, ["proper", "prev"], "left").join(alone, "proper", "left")
+    weighed = several.withColumn("prev", F.explode_outer("before")).join(uses, ["proper", "prev"], "left").join(alone, "proper", "left")
     best = F.min_by("proper", F.struct(F.levenshtein(F.lower("word"), F.col("proper")), -F.coalesce("together", F.lit(0)), -F.coalesce("alone", F.lit(0)), "proper"))
-    chosen = weighed.groupBy(*LINE, "word").agg(best.alias("best"))
-    return lone.join(chosen, [*LINE, "word"], "left").select(*LINE, "word", F.coalesce("best", "proper").alias("proper"))
+    chosen = weighed.groupBy(*LINE, "word").agg(best.alias("proper"))
+    return each.where("size(propers) = 1").select(*LINE, "word", F.col("propers")[0].alias("proper")).unionAll(chosen)
 
 
 def repairs(pages: DataFrame, cells: DataFrame | None, titles: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(tbl, row_id, line_no, fixes, joined, out): what there is to mend in each line that has something: `fixes` (word,
     proper), the divided word that begins here, whole, and whether the line is furniture. Written once."""
     found = suspects(text_table(pages, cells), lexicon)
-    fixes = supported(pages, cells, found, misread_words(found, lexicon)).select(*LINE, "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
+    fixes = supported(pages, cells, misread_words(found, lexicon)).select(*LINE, "word", _cased(F.col("proper"), F.col("word")).alias("proper"))
     fix = F.struct("word", "proper").alias("fix")
     none, no_fix = F.lit(None).cast("string").alias("joined"), F.lit(None).cast("struct<word:string,proper:string>").alias("fix")
     known = (

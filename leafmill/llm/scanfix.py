@@ -36,6 +36,8 @@ from leafmill.llm.state import materialized
 
 #: So many words are taken as a literal set and broadcast.
 LEXICON = 50_000
+#: So many lines are looked at first for a line of text, and all of them if there is none among these.
+NEAR = 6
 #: What a line is known by.
 LINE = ["tbl", "row_id", "line_no"]
 
@@ -161,6 +163,20 @@ def _shown(raw: Column, markup: bool) -> Column:
     return let(decoded(raw), lambda x: let(_plain(x), _single))
 
 
+_TAGS = r"<!--.*?-->|</?[A-Za-z][^<>]*>|<![^<>]*>"
+
+
+def _blank(raw: Column, markup: bool) -> Column:
+    """Whether nothing of a line shows. A letter or digit outside tags is seen at once, as is a line of tags and spaces;
+    only what has entities or comments is decoded."""
+    if not markup:
+        return _shown(raw, False) == ""
+    return (
+        F.when(~raw.contains("<!") & raw.rlike(r"(?:^|>)[^<>&]*[A-Za-z0-9]"), False)
+        .when(~raw.contains("&"), raw.rlike(rf"^(?:{_TAGS}|[ {_SPACES}])*$")).otherwise(_shown(raw, True) == "")
+    )
+
+
 def _with_text(lines: DataFrame, markup: bool) -> DataFrame:
     """`lines` with `text`, the shown form of `raw`, step by step so that no step is repeated."""
     if markup:
@@ -201,7 +217,8 @@ def text_lines(df: DataFrame, keys: list[str], text: str, page: Column | None =
     def position(raws: Column, nth: int) -> Column:
         """How many lines of `raws` it takes to see `nth` non-blank ones."""
         start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"))
-        return F.aggregate(raws, start, lambda acc, x: F.when(acc.seen >= nth, acc).otherwise(F.struct((acc.seen + (_shown(x, markup) != "").cast("int")).alias("seen"), (acc.at + 1).alias("at"))))["at"]
+        look = lambda some: F.aggregate(some, start, lambda acc, x: F.when(acc.seen >= nth, acc).otherwise(F.struct((acc.seen + (~_blank(x, markup)).cast("int")).alias("seen"), (acc.at + 1).alias("at"))))
+        return let(look(F.slice(raws, 1, NEAR)), lambda n: F.when((n.seen >= nth) | (F.size(raws) <= NEAR), n).otherwise(look(raws)))["at"]
 
     if scan is not None:
         edges = F.when(F.col("scan"), F.struct(position(F.col("raws"), 1).alias("top"), (F.size("raws") + 1 - position(F.reverse("raws"), 2)).alias("foot")))
@@ -218,10 +235,9 @@ def text_lines(df: DataFrame, keys: list[str], text: str, page: Column | None =
 
     def ahead(i: Column) -> Column:
         """The next line of text behind line i: among the next few lines, or else among all."""
-        few = 64
-        near = F.aggregate(F.slice("raws", i + 2, few), F.struct(F.lit(0).alias("at"), F.lit("").alias("word")), following)
-        far = F.aggregate(F.slice("raws", i + 2 + few, F.size("raws")), F.struct(F.lit(few).alias("at"), F.lit("").alias("word")), following)
-        return let(near, lambda n: F.when((n.word != "") | (F.size("raws") <= i + 1 + few), n).otherwise(far))
+        near = F.aggregate(F.slice("raws", i + 2, NEAR), F.struct(F.lit(0).alias("at"), F.lit("").alias("word")), following)
+        far = F.aggregate(F.slice("raws", i + 2 + NEAR, F.size("raws")), F.struct(F.lit(NEAR).alias("at"), F.lit("").alias("word")), following)
+        return let(near, lambda n: F.when((n.word != "") | (F.size("raws") <= i + 1 + NEAR), n).otherwise(far))
 
     ends = lambda x: reduce(Column.__or__, [x.contains(h) for h in _HYPHENS + ";"]) & x.rlike(_ENDS)
     parts = F.transform("raws", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("raw"), F.when(ends(x), ahead(i)).alias("ahead")))
@@ -352,10 +368,11 @@ def word_uses(pages: DataFrame, cells: DataFrame | None, asked: DataFrame) -> Da
     texts = pages.select(strip_tags(F.col("html"), " ").alias("t"))
     if cells is not None:
         texts = texts.unionAll(cells.select("text"))
-    each = texts.select(_WORDS(F.col("t")).alias("w")).select("w", F.posexplode("w").alias("i", "proper"))
-    if few:
-        each = each.where(F.col("proper").isin(head) if head else F.lit(False))
-    uses = each.select("proper", F.when(F.col("i") > 0, F.try_element_at("w", F.greatest("i", F.lit(1)))).alias("prev")).groupBy("proper", "prev").agg(F.count("*").alias("together"))
+    # one look at each word; what is asked for is then put together with its forerunner
+    wanted = (lambda x: x.isin(head)) if few and head else (lambda x: F.lit(not few))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: wanted(F.get("w", i)))
+    pairs = F.transform(at, lambda i: F.struct(F.get("w", i).alias("proper"), F.get("w", i - 1).alias("prev")))
+    uses = texts.select(_WORDS(F.col("t")).alias("w")).where("size(w) > 0").select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together"))
     return materialized(uses if few else uses.join(asked, "proper", "left_semi"))
 
 

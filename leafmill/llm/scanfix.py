@@ -36,6 +36,8 @@ from leafmill.llm.state import materialized
 
 #: So many words are taken as a literal set and broadcast.
 LEXICON = 50_000
+#: So many words make a pattern.
+PATTERN = 200
 #: So many lines are looked at first for a line of text, and all of them if there is none among these.
 NEAR = 6
 #: What a line is known by.
@@ -357,22 +359,28 @@ _WORDS = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9|]+"), F.lit(0
 
 
 def word_uses(pages: DataFrame, cells: DataFrame | None, asked: DataFrame) -> DataFrame:
-    """(proper, prev, together): how often each of the words `asked` for (`proper`) follows another one in all `pages` and
-    `cells`, scanned or not; null begins a text. Written once.
+    """(proper, prev, together): how often each of the words `asked` for (`proper`) follows another one in a line of all
+    `pages` and `cells`, scanned or not; null begins a line. Written once.
 
     The words asked for are counted: up to `LEXICON` they are a literal set, so that only they and their forerunners
-    leave the texts; beyond that all words do, and meet them in a join. Uses are added up before they move.
+    leave the texts; beyond that all words do, and meet them in a join. Few of them make a pattern that passes over most
+    lines. Uses are added up before they move.
     """
     head = [r.proper for r in asked.limit(LEXICON + 1).collect()]
     few = len(head) <= LEXICON
-    texts = pages.select(strip_tags(F.col("html"), " ").alias("t"))
+    if few and not head:
+        return asked.select("proper", F.lit(None).cast("string").alias("prev"), F.lit(0).cast("long").alias("together")).limit(0)
+    texts = pages.select(F.col("html").alias("t"), F.lit(True).alias("markup"))
     if cells is not None:
-        texts = texts.unionAll(cells.select("text"))
+        texts = texts.unionAll(cells.select("text", F.lit(False)))
+    lines = texts.select("markup", F.explode(F.split("t", "\n", -1)).alias("line"))
+    if len(head) <= PATTERN:
+        lines = lines.where(F.col("line").rlike(rf"(?iu)(?<![a-z0-9|])(?:{'|'.join(sorted(head))})(?![a-z0-9|])"))
+    words = lines.select(_WORDS(F.when(F.col("markup"), strip_tags(F.col("line"), " ")).otherwise(F.col("line"))).alias("w")).where("size(w) > 0")
     # one look at each word; what is asked for is then put together with its forerunner
-    wanted = (lambda x: x.isin(head)) if few and head else (lambda x: F.lit(not few))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: wanted(F.get("w", i)))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(head) if few else F.lit(True))
     pairs = F.transform(at, lambda i: F.struct(F.get("w", i).alias("proper"), F.get("w", i - 1).alias("prev")))
-    uses = texts.select(_WORDS(F.col("t")).alias("w")).where("size(w) > 0").select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together"))
+    uses = words.select(F.inline(pairs)).groupBy("proper", "prev").agg(F.count("*").alias("together"))
     return materialized(uses if few else uses.join(asked, "proper", "left_semi"))
 
 

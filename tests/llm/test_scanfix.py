@@ -68,7 +68,7 @@ def test_scans_without_origin(spark, words):
     assert texts[4] == texts[5] == "3 The Silver Garden and Wiscor warden of the wat- - 3 - er tower" and texts[7] == "the tower" and 6 not in texts
 
 
-def test_support_comes_from_all_texts(spark):
+def test_support_comes_from_all_texts(spark, monkeypatch):
     words = spark.createDataFrame([(w,) for w in "at of look the".split()], "word string")
     rows = [(1, "d", 1, "<p>look ot the</p>", "scan"), (2, "d", 2, "<p>the ot</p>", "scan"), (3, "d", 3, "<p>look of</p>", "digital"), (4, "d", 4, "<p>of of</p>", "digital")]
     texts = lambda *c: sorted((r.tbl, r.row_id, r.text) for r in x.paragraphs(pages(spark, rows), titles(spark, []), words, cells(spark, list(c))).collect() if r.text.startswith(("look", "the")))
@@ -76,6 +76,9 @@ def test_support_comes_from_all_texts(spark):
     assert texts() == [("pages", 1, "look of the"), ("pages", 2, "the of")]
     more = [(n, "look at") for n in range(5, 10)]
     assert texts(*more)[:2] == [("pages", 1, "look at the"), ("pages", 2, "the at")]
+    for few in ("PATTERN", "LEXICON"):  # the same without a pattern, and without a literal set
+        monkeypatch.setattr(x, few, -1 if few == "PATTERN" else 0)
+        assert texts(*more)[:2] == [("pages", 1, "look at the"), ("pages", 2, "the at")]
 
 
 def test_cells_have_no_furniture_and_no_markup(spark, words):
@@ -124,6 +127,7 @@ def test_large_lexicon_gives_the_same(spark, words, monkeypatch):
     small = found(spark, words, rows)
     monkeypatch.setattr(x.Lexicon.__init__, "__defaults__", ("word", 3))
     monkeypatch.setattr(x, "LEXICON", 0)
+    monkeypatch.setattr(x, "PATTERN", 0)
     assert found(spark, words, rows) == small
 
 

@@ -170,11 +170,11 @@ _TAGS = r"<!--.*?-->|</?[A-Za-z][^<>]*>|<![^<>]*>"
 
 def _blank(raw: Column, markup: bool) -> Column:
     """Whether nothing of a line shows. A letter or digit outside tags is seen at once, as is a line of tags and spaces;
-    only what has entities or comments is decoded."""
+    only what is left, as lines of entities or with comments, is decoded."""
     if not markup:
         return _shown(raw, False) == ""
     return (
-        F.when(~raw.contains("<!") & raw.rlike(r"(?:^|>)[^<>&]*[A-Za-z0-9]"), False)
+        F.when(~raw.contains("<!") & raw.rlike(r"(?:^|>)(?:[^<>&A-Za-z0-9]|&[A-Za-z0-9#]+;)*+[A-Za-z0-9]"), False)
         .when(~raw.contains("&"), raw.rlike(rf"^(?:{_TAGS}|[ {_SPACES}])*$")).otherwise(_shown(raw, True) == "")
     )
 
@@ -204,9 +204,9 @@ def _is_head(text: Column, page: Column) -> Column:
 
 
 def text_lines(df: DataFrame, keys: list[str], text: str, page: Column | None = None, scan: Column | None = None, markup: bool = True) -> DataFrame:
-    """(keys, line_no, text, raw, first, last, next_first, next_no, head, core, numbered, edge) per non-blank line.
+    """(keys, line_no, text, raw, last, next_first, next_no, head, core, numbered, edge) per non-blank line.
 
-    `first` is a line's first word; `last` its last one if a hyphen follows, and `next_first` and `next_no` are then
+    `last` is a line's last word if a hyphen follows, and `next_first` and `next_no` are then
     of the next line of text in the row, passing over blank lines and what looks like furniture. `head` is whether a
     line of a scan looks like furniture, `core` its text without page numbers, `edge` whether it is the first or one
     of the last two lines of its page.
@@ -256,7 +256,7 @@ def text_lines(df: DataFrame, keys: list[str], text: str, page: Column | None =
         lines = _staged(lines, number=F.coalesce(F.col("scan") & number, F.lit(False)), core=F.when(named, core), numbered=F.coalesce(named & numbered, F.lit(False)))
         lines = _staged(lines, core=F.when(F.col("number"), "").otherwise(F.col("core")), head=F.coalesce(F.col("number") | F.when(F.col("core").isNotNull(), _title_case(F.col("core"))), F.lit(False)))
     return lines.select(
-        *keys, "line_no", "text", "raw", F.regexp_extract("text", _FIRST, 1).alias("first"), "last",
+        *keys, "line_no", "text", "raw", "last",
         F.coalesce("ahead.word", F.lit("")).alias("next_first"), (F.col("line_no") + F.col("ahead.at")).alias("next_no"), "head",
         F.when(F.col("head"), F.coalesce("core", F.lit(""))).alias("core"), (F.col("head") & F.col("numbered")).alias("numbered"),
         F.coalesce((F.col("line_no") <= F.col("edges.top")) | (F.col("line_no") >= F.col("edges.foot")), F.lit(False)).alias("edge"),
@@ -337,7 +337,7 @@ def misread_words(found: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(tbl, row_id, line_no, word, proper, before) of `suspects`' words with each lexicon word that they are once set
     right, but for the parts of a divided word; `before` are the words that stand before it in the line."""
     goes_on = (F.col("last") != "") & (F.col("next_first") != "") & ~F.lower("next_first").isin(*_HANGING)
-    words = found.select(*LINE, "text", "first", F.when(goes_on, F.col("last")).otherwise("").alias("last"), F.explode("words").alias("word"))
+    words = found.select(*LINE, "text", F.regexp_extract("text", _FIRST, 1).alias("first"), F.when(goes_on, F.col("last")).otherwise("").alias("last"), F.explode("words").alias("word"))
     # what stands before a word is looked up where its line lies, for the few words that may be misread
     before = F.expr("array_distinct(transform(filter(sequence(0, size(w) - 1), i -> w[i] = lower(word)), i -> if(i > 0, w[greatest(i - 1, 0)], null)))")
     fit = lexicon.misread(words.where("word <> last")).select(*LINE, "first", "word", "proper", _WORDS(F.col("text")).alias("w"))

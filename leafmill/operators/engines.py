@@ -80,16 +80,25 @@ def mean_confidence(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))) / 100, F.lit(0.0)).alias("confidence"))
 
 
-def ocr_block(results: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, block): recognised texts as one HTML block, in order of `ord`; blank texts are left out."""
+def _ocr_attributes(results: DataFrame) -> Column:
+    """What is known of a recognised text, as attributes; confidence only above 0, language and box where there are any."""
     box = F.concat_ws(",", *[F.col(c).cast("string") for c in ("x", "y", "w", "h")]) if "x" in results.columns else F.lit(None).cast("string")
-    attributes = F.concat(
+    return F.concat(
         F.lit(' data-ocr="true"'),
         F.when(F.col("confidence") > 0, F.concat(F.lit(' data-ocr-confidence="'), F.format_string("%.3f", "confidence"), F.lit('"'))).otherwise(""),
         F.when(F.coalesce("language", F.lit("")) != "", F.concat(F.lit(' data-ocr-language="'), "language", F.lit('"'))).otherwise(""),
         F.when(box.isNotNull() & (box != ""), F.concat(F.lit(' data-bbox="'), box, F.lit('"'))).otherwise(""),
     )
-    shown = results.where(F.col("text").rlike(r"(?U)\S")).withColumn("p", F.concat(F.lit("<p"), attributes, F.lit(">"), escape(F.col("text"), quotes=False), F.lit("</p>\n")))
+
+
+def ocr_spans(results: DataFrame) -> DataFrame:
+    """`results` with `span`: each recognised text as an HTML span of its own."""
+    return results.withColumn("span", F.concat(F.lit("<span"), _ocr_attributes(results), F.lit(">"), escape(F.coalesce("text", F.lit(""))), F.lit("</span>")))
+
+
+def ocr_block(results: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block): recognised texts as one HTML block, in order of `ord`; blank texts are left out."""
+    shown = results.where(F.col("text").rlike(r"(?U)\S")).withColumn("p", F.concat(F.lit("<p"), _ocr_attributes(results), F.lit(">"), escape(F.col("text"), quotes=False), F.lit("</p>\n")))
     block = shown.groupBy(*keys).agg(F.expr("listagg(p, '') within group (order by ord)").alias("ps"))
     return block.select(*keys, F.concat(F.lit('<div class="ocr-content" data-source="ocr">\n'), "ps", F.lit("</div>")).alias("block"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +71,31 @@ def referenced_images(pages: DataFrame, files: DataFrame, keys: list[str], html:
     return found.withColumn("path", path).join(listed, "path").select(*keys, (F.col("at") + 1).alias("img_ord"), F.col("found").alias("src"), "path", name.alias("name"))
 
 
+def referenced_to_assets(html: Column, names: Column) -> Column:
+    """The page with the image sources that are keys of the map `names` replaced by assets/ and their name."""
+
+    def by(src: Column, _: Column) -> Column:
+        name = F.try_element_at(names, src)
+        return F.concat(F.lit('src="'), F.coalesce(F.concat(F.lit("assets/"), name), src), F.lit('"'))
+
+    return F.when(names.isNull(), html).otherwise(replace_each(html, _REFERENCED, _REFERENCED_PARTS, by))
+
+
+def tables_to_images(html: Column, page_no: Column) -> Column:
+    """The page with each table replaced by the image that stands for it."""
+    return replace_each(html, _TABLE, r"(?is)(<table.*?</table>)", lambda _, n: F.concat(F.lit('<img src="assets/'), asset_name(page_no, n, "table", F.lit("png")), F.lit('">')))
+
+
+def _png(width: int, height: int) -> bytes:
+    """A white picture: what an image-only table is until a renderer makes its picture."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = zlib.compress((b"\0" + b"\xff" * width) * height)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", rows) + chunk(b"IEND", b"")
+
+
+PLACEHOLDER = _png(1, 1)
+
+
 def html_tables(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """(keys, table_ord, html) of each table; a nested one ends its outer one, as matching is not recursive."""
     found = pages.where(F.lower(html).contains("<table")).select(*keys, _numbered(F.regexp_extract_all(html, F.lit(_TABLE), F.lit(0))))

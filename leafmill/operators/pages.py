@@ -46,10 +46,13 @@ def missing_pages(documents: DataFrame, wanted: list[int]) -> DataFrame:
 
 
 def first_deliveries(pages: DataFrame) -> DataFrame:
-    """One row per (doc_id, page_no): the first loaded; ties go to the smaller row_id.
+    """One row per (doc_id, page_no): the first loaded; ties go to the smaller row_id, of equal rows one is kept.
 
-    A max-by aggregation, so pages delivered over and over are reduced before the shuffle.
+    Which row is first is found on narrow columns, combined before they move. The rows themselves move once, to their
+    (doc_id, page_no), and lie there for what comes next. Rows without a doc_id or page_no belong to no page and are
+    left out.
     """
-    rest = [c for c in pages.columns if c not in ("doc_id", "page_no")]
-    first = F.min_by(F.struct(*rest), F.struct("loaded_at", "row_id")).alias("first")
-    return pages.groupBy("doc_id", "page_no").agg(first).select("doc_id", "page_no", "first.*")
+    first = pages.groupBy("doc_id", "page_no").agg(F.min_by("row_id", F.struct("loaded_at", "row_id")).alias("__first"))
+    # not an equality, which would become a third key and ask for another partitioning
+    kept = pages.join(first, ["doc_id", "page_no"]).where("row_id >= __first and row_id <= __first")
+    return kept.drop("__first").dropDuplicates(["doc_id", "page_no"])

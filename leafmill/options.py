@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass, field
 
 TABLE_MODES = ("structured", "auto", "image-only")
@@ -43,6 +44,9 @@ class Options:
         return asdict(self)
 
 
+#: What a module id is: ASCII letters, digits, hyphens and underscores, at least one letter or digit among them.
+MODULE_ID = "^[-_]*[A-Za-z0-9][-_A-Za-z0-9]*$"
+
+
 def module_id_is_valid(module: str) -> bool:
-    """Letters, digits, hyphens and underscores, with at least one letter or digit."""
-    return module.replace("-", "").replace("_", "").isalnum()
+    return re.fullmatch(MODULE_ID[1:-1], module) is not None

@@ -47,7 +47,8 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([("d", "m", "Book", 1, "A", "x", "pk")], "doc_id string, mod_id string, title string, page_count int, author string, license string, pack_name string").write.parquet(str(tmp_path / "in/parsed_documents.parquet"))
     spark.createDataFrame([(1, "d", 1, "<p>é</p>", "2024")], "row_id bigint, doc_id string, page_no int, html string, loaded_at string").write.parquet(str(tmp_path / "in/pages.parquet"))
     spark.createDataFrame([("d", 1, None, 1, "C", 1)], "doc_id string, node_id int, parent_id int, sibling_ord int, title string, page int").write.parquet(str(tmp_path / "in/outline.parquet"))
-    assert main(["convert", str(tmp_path / "in"), str(tmp_path / "out"), "--pages", "1"]) == 0
-    written = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/entries")).collect()]
+    assert main(["convert", str(tmp_path / "in"), str(tmp_path / "out"), "--pages", "1", "--export"]) == 0
+    written = [json.loads(json.loads(r.value)["entry"]) for r in spark.read.text(str(tmp_path / "out/entries")).collect()]
     assert sorted(e["name"] for e in written) == ["C", "Table of Contents"]
+    assert (tmp_path / "out/files/d/002-c.json").exists() and (tmp_path / "out/files/d/module.json").exists()
     assert main(["doctor"]) == 0

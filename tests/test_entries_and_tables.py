@@ -57,14 +57,23 @@ def test_convert_whole(spark, tmp_path):
     got = convert(docs, pages, outline)
     assert sorted((r.doc_id, r.chapter_ord, r.name) for r in got.pages.collect()) == [("d", 0, "Table of Contents"), ("d", 1, "S"), ("e", 0, "Table of Contents"), ("e", 1, "Page 1"), ("e", 1, "Page 2")]
     sinks.write_entries(got.entries, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 4
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted((x["doc_id"], x["file_name"], json.loads(x["entry"])["name"]) for x in lines) == [
+        ("d", "001-table-of-contents.json", "Table of Contents"), ("d", "002-c.json", "C"), ("e", "001-table-of-contents.json", "Table of Contents"), ("e", "002-document.json", "Document"),
+    ]
     lead = convert(docs, pages, outline, Options(compat=False))
     assert lead.sections.where("doc_id = 'd'").count() == 2
     sinks.write_manifests(manifest.manifests(docs), str(tmp_path / "m"))
-    made = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "m")).collect()]
+    made = [json.loads(r.value)["manifest"] for r in spark.read.text(str(tmp_path / "m")).collect()]
     assert sorted((m["id"], len(m["authors"]), "license" in m) for m in made) == [("m", 1, False), ("m2", 0, True)]
-    style = sinks.write_style(str(tmp_path / "styles"))
-    assert os.path.exists(style) and sinks.write_style(str(tmp_path / "styles")) == style
+    entries_ = got.entries.where("doc_id = 'd'")
+    for _ in range(2):  # a second export writes the same files
+        sinks.export_entries(entries_, str(tmp_path / "files"))
+        sinks.export_manifests(manifest.manifests(docs), str(tmp_path / "files"))
+        sinks.export_style(spark, docs, str(tmp_path / "files"))
+    names = sorted(os.path.relpath(os.path.join(at, n), tmp_path / "files") for at, _, each in os.walk(tmp_path / "files") for n in each)
+    assert names == ["d/001-table-of-contents.json", "d/002-c.json", "d/module.json", "d/styles/leafmill.css", "e/module.json", "e/styles/leafmill.css"]
+    assert json.loads((tmp_path / "files/d/002-c.json").read_text())["name"] == "C"
 
 
 def test_manifest_issues(spark):
@@ -191,6 +200,21 @@ def test_json_cache(spark, tmp_path):
     assert [r.doc_id for r in json_cache.not_cached(docs, good.withColumn("doc_id", F.lit("d"))).collect()] == ["e"]
 
 
+def test_cache_in_parts_and_its_use(spark):
+    docs = spark.createDataFrame([("d", 120), ("e", 1), ("f", 2), ("g", 3)], "doc_id string, page_count int")
+    pages = spark.createDataFrame([("d", n, f"p{n}") for n in (1, 50, 51, 100, 120)] + [("e", 1, "x"), ("f", 2, "y")], "doc_id string, page_no int, html string")
+    cached = json_cache.to_cache(docs, pages)
+    assert sorted((r.doc_id, r.n) for r in cached.groupBy("doc_id").agg(F.count("*").alias("n")).collect()) == [("d", 3), ("e", 1), ("f", 1), ("g", 1)]
+    good, bad = json_cache.parse_cache(cached, "json")
+    got = {(r.doc_id, r.page_no): r.html for r in json_cache.cached_pages(good).collect()}
+    assert bad.count() == 0 and len(got) == 126 and got["d", 51] == "p51" and got["d", 120] == "p120" and got["d", 119] == "" and got["f", 1] == ""
+    # one part is lost, one record is cut off, and one document was never cached
+    lines = cached.where("doc_id <> 'g' and not (doc_id = 'd' and json like '%\"first_page\":51%')").withColumn("json", F.when(F.col("doc_id") == "f", F.expr("left(json, 20)")).otherwise(F.col("json")))
+    convert_ = lambda left: left.select("doc_id", F.lit(1).alias("page_no"), F.lit("new").alias("html"), F.lit(None).cast("string").alias("error"))
+    used = {(r.doc_id, r.page_no): r.html for r in json_cache.reused(docs, lines, convert_, "json").collect()}
+    assert used == {("e", 1): "x", ("d", 1): "new", ("f", 1): "new", ("g", 1): "new"}
+
+
 def test_files_and_converters(spark, tmp_path):
     for name, content in (("a.pdf", b"one two"), ("b.pdf", b"one two"), ("c.pdf", b"bad"), ("d.txt", b"x")):
         (tmp_path / name).write_bytes(content)

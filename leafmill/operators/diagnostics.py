@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.outline import outline_tree, unreachable
+
 
 def _issue(df: DataFrame, code: str, severity: str, message: str | Column, page: str | None = None) -> DataFrame:
     said = F.lit(message) if isinstance(message, str) else message
@@ -17,7 +19,8 @@ def _issue(df: DataFrame, code: str, severity: str, message: str | Column, page:
 def diagnostics(documents: DataFrame, pages: DataFrame, outline: DataFrame, cells: DataFrame) -> DataFrame:
     """(doc_id, page_no, code, severity, message), one row per finding; page_no is null for whole documents.
 
-    Each kind is a filter or an aggregation combined before its shuffle; none needs another.
+    Each kind is a filter or an aggregation combined before its shuffle; only nodes that no root leads to need the tree,
+    and are looked for where the outline says what is above a node.
     """
     docs = documents.select("doc_id", "page_count").dropDuplicates(["doc_id"])
     node = outline.join(docs, "doc_id")
@@ -32,4 +35,7 @@ def diagnostics(documents: DataFrame, pages: DataFrame, outline: DataFrame, cell
         _issue(again, "page-delivered-again", "info", F.concat(F.col("n").cast("string"), F.lit(" deliveries")), "page_no"),
         _issue(tables, "table-without-box", "warning", F.col("table_id"), "page_no"),
     ]
+    if "parent_id" in outline.columns:
+        lost = unreachable(outline, outline_tree(outline, documents))
+        found.append(_issue(lost, "outline-node-unreachable", "error", F.concat(F.lit("node "), F.col("node_id").cast("string"))))
     return reduce(DataFrame.unionAll, found)

@@ -1,8 +1,9 @@
 """Outlines: adjacency lists of nodes to levels, reading order, page spans and paths.
 
 Input: (doc_id, node_id, parent_id, sibling_ord, title, page), one row per node; repeated nodes count once (the row
-with the smallest sibling_ord, then title). Nodes that no root leads to are left out. A page that is null, below 1 or
-beyond the document counts as 1 or as the last page; null titles stay null and have the slug 'untitled'.
+with the smallest sibling_ord, then title). Nodes that no root leads to, as their parent is missing or is below them,
+are left out; `unreachable` lists them. A page that is null, below 1 or beyond the document counts as 1 or as the last
+page; null titles stay null and have the slug 'untitled'. Nodes may nest to any depth.
 """
 
 from __future__ import annotations
@@ -12,49 +13,52 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.ids import short_hash
 from leafmill.functions.text import slug
-
-#: Levels that the recursion goes down at most.
-DEEPEST = 100
+from leafmill.state import materialized
 
 
 def outline_tree(outline: DataFrame, documents: DataFrame, compat_paths: bool = False) -> DataFrame:
     """(doc_id, node_id, root_id, level, dfs_ord, title, page_start, page_end, path).
 
     A node ends on the page before the next node of its level or above (on page 1 at least), else with the document.
-    That next node is the next sibling of the node or of its nearest ancestor that has one, so it comes down the
-    recursion and no self-join on ranges is needed. With `compat_paths` a path has the root's slug for each ancestor.
+    That next node is the next sibling of the node or of its nearest ancestor that has one, so it is found on the way to
+    the root and no self-join on ranges is needed. With `compat_paths` a path has the root's slug for each ancestor.
+
+    The way to the root is found by doubling: each node knows a stretch of ancestors, and joins the stretch that its
+    uppermost one knows, until it reaches a root. A tree of depth d takes log2(d) equi-joins of narrow rows, each
+    written once; it ends when no node is left or none came to a root in a round.
     """
-    spark = outline.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     counts = documents.select("doc_id", F.coalesce("page_count", F.lit(0)).alias("pages")).groupBy("doc_id").agg(F.max("pages").alias("pages"))
     once = outline.groupBy("doc_id", "node_id").agg(F.min_by(F.struct("parent_id", "sibling_ord", "title", "page"), F.struct("sibling_ord", "title", "page")).alias("n")).select("doc_id", "node_id", "n.*")
     siblings = Window.partitionBy("doc_id", "parent_id").orderBy("sibling_ord", "node_id")
-    nodes = once.withColumn("page_start", F.greatest(F.lit(1), F.coalesce("page", F.lit(1)))).select(
-        "doc_id", "node_id", "parent_id", "title", "page_start", slug(F.col("title")).alias("slug"),
-        F.format_string("%08d", F.row_number().over(siblings)).alias("place"), F.lead("page_start").over(siblings).alias("next_page"),
+    way = once.withColumn("page_start", F.greatest(F.lit(1), F.coalesce("page", F.lit(1)))).select(
+        "doc_id", "node_id", F.col("parent_id").alias("up"), F.col("node_id").alias("root_id"), F.lit(1).alias("level"), "title", "page_start",
+        F.format_string("%08d", F.row_number().over(siblings)).alias("key"), F.array(slug(F.col("title"))).alias("path"), F.lead("page_start").over(siblings).alias("after"),
     )
-    name = f"outline_{short_name(outline)}"
-    nodes.createOrReplaceTempView(name)
-    own = "concat(t.path, array(n.slug))" if not compat_paths else "concat(array_repeat(t.path[0], t.level), array(n.slug))"
-    tree = spark.sql(f"""
-        with recursive t max recursion level {DEEPEST} as (
-            select doc_id, node_id, node_id as root_id, 1 as level, title, page_start, next_page as after, place as key, array(slug) as path
-            from {name} where parent_id is null
-            union all
-            select n.doc_id, n.node_id, t.root_id, t.level + 1, n.title, n.page_start, coalesce(n.next_page, t.after), concat(t.key, n.place), {own}
-            from t join {name} n on n.doc_id = t.doc_id and n.parent_id = t.node_id
-        ) select * from t
-    """)
-    spark.catalog.dropTempView(name)
+    left = -1
+    while True:
+        way = materialized(way)
+        below = way.where("up is not null")
+        before, left = left, below.count()
+        if left in (0, before):
+            break
+        above = way.select("doc_id", F.col("node_id").alias("up"), *[F.col(c).alias(f"a_{c}") for c in ("up", "root_id", "level", "key", "path", "after")])
+        joined = below.join(above, ["doc_id", "up"]).select(
+            "doc_id", "node_id", F.col("a_up").alias("up"), F.col("a_root_id").alias("root_id"), (F.col("a_level") + F.col("level")).alias("level"), "title", "page_start",
+            F.concat("a_key", "key").alias("key"), F.concat("a_path", "path").alias("path"), F.coalesce("after", "a_after").alias("after"),
+        )
+        way = way.where("up is null").unionByName(joined)
+    tree = way.where("up is null")
+    if compat_paths:
+        tree = tree.withColumn("path", F.expr("concat(array_repeat(path[0], level - 1), slice(path, -1, 1))"))
     spans = tree.join(counts, "doc_id", "left").withColumn("last", F.greatest(F.coalesce("pages", F.lit(0)), F.lit(1)))
     end = F.least(F.when(F.col("after").isNull(), F.col("last")).otherwise(F.greatest(F.lit(1), F.col("after") - 1)), F.col("last"))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
     return spans.select("doc_id", "node_id", "root_id", "level", order.alias("dfs_ord"), "title", "page_start", end.alias("page_end"), "path")
 
 
-def short_name(df: DataFrame) -> str:
-    """A view name that two outlines in one session don't share."""
-    return f"{abs(hash(df)) % 10**9}"
+def unreachable(outline: DataFrame, tree: DataFrame) -> DataFrame:
+    """(doc_id, node_id) of the nodes that no root leads to."""
+    return outline.select("doc_id", "node_id").distinct().join(tree.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
 
 
 def unique_slugs(tree: DataFrame) -> DataFrame:

@@ -471,6 +471,17 @@ def unique_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.unique_slugs(_tree(spark, sf_dir)).select("doc_id", "node_id", "unique")
 
 
+_LOST = "select row_id, doc_id, node_id, case when node_id % 7 = 3 then 100000 when node_id % 7 = 5 then node_id else parent_id end as parent_id, sibling_ord, title, page from outline"
+
+
+@query("outline_unreachable", _TREE.replace("from outline\n    qualify", f"from ({_LOST})\n    qualify") + "select distinct doc_id, node_id from outline o where not exists (select 1 from tree t where t.doc_id = o.doc_id and t.node_id = o.node_id)")
+def outline_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes lost where some parents are missing and some nodes are their own parents."""
+    parent = F.expr("case when node_id % 7 = 3 then 100000 when node_id % 7 = 5 then node_id else parent_id end")
+    nodes = table(spark, sf_dir, "outline").withColumn("parent_id", parent)
+    return outline.unreachable(nodes, outline.outline_tree(nodes, table(spark, sf_dir, "parsed_documents")))
+
+
 @query("outline_counts", _TREE + "select doc_id, count(*) filter (level = 1) as chapters, count(*) filter (level >= 2) as sections from tree group by 1")
 def outline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.outline_counts(_tree(spark, sf_dir))
@@ -776,7 +787,7 @@ def conversion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOCS = "(select doc_id, min(page_count) as page_count from parsed_documents group by 1)"
 
 
-@query("diagnostics", f"""
+@query("diagnostics", _TREE + f"""
 select doc_id, null::int as page_no, 'outline-missing' as code, 'warning' as severity, 'no outline' as message from {_DOCS} where doc_id not in (select doc_id from outline where doc_id is not null)
 union all select doc_id, null, 'page-count-missing', 'warning', 'no page count' from {_DOCS} where page_count is null
 union all select doc_id, page_no, 'page-empty', 'warning', 'no html' from pages where html is null or html = ''
@@ -784,6 +795,7 @@ union all select doc_id, page_no, 'page-beyond-end', 'error', 'behind the last p
 union all select doc_id, null, 'outline-page-invalid', 'warning', 'node ' || node_id from outline join {_DOCS} using (doc_id) where page is null or page < 1 or page > page_count
 union all select doc_id, page_no, 'page-delivered-again', 'info', count(*) || ' deliveries' from pages group by doc_id, page_no having count(*) > 1
 union all select distinct doc_id, page_no, 'table-without-box', 'warning', table_id from table_cells where tbl_x0 is null or tbl_y0 is null or tbl_x1 is null or tbl_y1 is null
+union all select distinct doc_id, null, 'outline-node-unreachable', 'error', 'node ' || node_id from outline o where not exists (select 1 from tree t where t.doc_id = o.doc_id and t.node_id = o.node_id)
 """)
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.diagnostics(*(table(spark, sf_dir, n) for n in ("parsed_documents", "pages", "outline", "table_cells")))

@@ -65,8 +65,14 @@ def test_tree(spark):
 
 
 def test_deep_tree_and_empty(spark):
-    deep = [("d", i, i - 1 or None, 1, f"n{i}", i) for i in range(1, 31)]
-    assert o.outline_tree(*frames(spark, deep, [("d", 30)])).agg(F.max("level")).first()[0] == 30
+    deep = [("d", i, i - 1 or None, 1, f"n{i}", i) for i in range(1, 301)]
+    # a chain of 300, two nodes above each other, one above itself, and what is below these
+    odd = [("d", 901, 902, 1, "a", 1), ("d", 902, 901, 1, "b", 1), ("d", 903, 903, 1, "c", 1), ("d", 904, 903, 1, "d", 1), ("d", 905, 999, 1, "e", 1), ("d", 906, 905, 1, "f", 1)]
+    nodes, docs = frames(spark, deep + odd, [("d", 30)])
+    tree = o.outline_tree(nodes, docs)
+    got = {r.node_id: (r.level, r.root_id, r.path[0], r.path[-1]) for r in tree.collect()}
+    assert got == {i: (i, 1, "n1", f"n{i}") for i in range(1, 301)}
+    assert sorted(r.node_id for r in o.unreachable(nodes, tree).collect()) == [901, 902, 903, 904, 905, 906]
     assert o.outline_tree(*frames(spark, [], [])).collect() == []
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import boilerplate, bpe, confusables, mojibake, packing, scanfix, splitting
-from leafmill.llm.state import materialized
+from leafmill.state import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,12 +191,31 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+@query("p6_decoded", "select doc_id, md5(coalesce(text, '')) as h from documents")
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids decoded again."""
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))).select("doc_id", F.md5("text").alias("h"))
+
+
 @query("p7_pack")
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = bpe.count_tokens(table(spark, sf_dir, "documents"))
     return packing.pack(sizes, CONTAINER)
 
 
+@query("p7_invariants", "select count(*) as documents, 0::bigint as overfull, 0::bigint as divided, 0::bigint as gaps from documents")
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: every document is in it, no container is above its capacity, none that fits is
+    divided, and the pieces of a document are without gaps."""
+    packed = p7_pack(spark, sf_dir)
+    loads = packed.groupBy("container_id").agg(F.sum("piece_size").alias("load")).agg(F.count_if(F.col("load") > CONTAINER).alias("overfull"))
+    each = packed.groupBy("doc_id", "copy_no").agg(F.count("*").alias("n"), F.sum("piece_size").alias("size"), F.max(F.col("piece_start") + F.col("piece_size")).alias("end"))
+    items = each.agg(F.count("*").alias("documents"), F.count_if((F.col("n") > 1) & (F.col("size") <= CONTAINER)).alias("divided"), F.count_if(F.col("end") != F.col("size")).alias("gaps"))
+    none = F.lit(0).cast("long")
+    both = items.withColumn("overfull", none).unionByName(loads.select(none.alias("documents"), none.alias("divided"), none.alias("gaps"), "overfull"))
+    return both.agg(*[F.sum(c).alias(c) for c in ("documents", "overfull", "divided", "gaps")])
+
+
 @query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair_texts(table(spark, sf_dir, "documents"), suspects=True).where("garbled").select("doc_id")

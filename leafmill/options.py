@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 TABLE_MODES = ("structured", "auto", "image-only")
 OCR_MODES = ("auto", "on", "off")
@@ -30,7 +30,6 @@ class Options:
     scope: str = "leafmill"
     repair: bool = True
     compat: bool = True
-    extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.tables not in TABLE_MODES:

@@ -195,7 +195,7 @@ def _staged(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 _FIRST = r"^[^\p{L}\p{N}|]*([\p{L}\p{N}|]+)"
-_ENDS = rf"(?:[{_HYPHENS}]|;)(?:\s|\u00a0|<[^<>]*>)*$"
+_ENDS = rf"(?:[{_HYPHENS}]|&[#A-Za-z0-9]+;)(?:\s|\u00a0|<[^<>]*>)*$"
 
 
 def _is_head(text: Column, page: Column) -> Column:
@@ -441,11 +441,12 @@ def paragraphs(pages: DataFrame, titles: DataFrame, words: DataFrame, cells: Dat
     some = F.broadcast(rows) if rows.count() <= BROADCAST else rows
     read = pages.where("html is not null")
     read = read.where(is_scan()).unionAll(read.where(~F.coalesce(is_scan(), F.lit(False))).join(some, "row_id", "left_semi").select(*read.columns))
-    once = read.groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p")).select("row_id", F.col("p.html").alias("text"))
+    # moved first, so that texts are sorted once, where they then lie
+    once = read.repartition("row_id").groupBy("row_id").agg(F.min(F.struct("doc_id", "page_no", "html")).alias("p")).select("row_id", F.col("p.html").alias("text"))
     out = _reflowed(once, known, "pages")
     if cells is None:
         return out
-    once = cells.where("text is not null").groupBy("row_id").agg(F.min("text").alias("text"))
+    once = cells.where("text is not null").repartition("row_id").groupBy("row_id").agg(F.min("text").alias("text"))
     return out.unionAll(_reflowed(once, known, "table_cells"))
 
 
